@@ -1,10 +1,12 @@
-"""Session construction and the one way this package cuts lineage."""
+"""Session construction, and the ways in which this package cuts lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,14 +27,16 @@ def build_session(app: str = "tessella", master: str | None = None, **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where neither the setting nor a directory set on the context exists, as
-    in local tests, a temporary one is made.
+    Only in local mode, and only where neither the setting nor a directory set on the
+    context exists, a temporary one is made; a cluster must name its own.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -43,10 +47,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: like `durable`, for wide rows of which later steps read few columns."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows of keys up to which a side is broadcast; past it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a stored key table has at most `limit` rows; stops counting past it."""
     return df.limit(limit + 1).count() <= limit
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until `df` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
