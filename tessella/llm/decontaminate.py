@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.text import normal_bytes, utf8
-from tessella.session import durable, small_enough
+from tessella.session import durable, small_enough, unused
 
 ERROR_RATE, PART_BYTES = 0.05, 8 << 20
 _Q, _BITS, _C = 8, 20, np.uint64(0x9E3779B97F4A7C15)
@@ -187,7 +187,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of `docs` that hold no benchmark item."""
-    gone = durable(find_leaks(docs, benchmark, rate, keys=True).select(F.col("text_hash").alias("__gone")).distinct())
+    gone = durable(find_leaks(docs, benchmark, rate, keys=True).select("text_hash").distinct())
+    key, other = unused(docs, "text_hash", "gone_hash")
+    gone = gone.toDF(other)
     gone = F.broadcast(gone) if small_enough(gone) else gone.hint("shuffle_hash")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    return docs.withColumn(key, F.xxhash64("text")).join(gone, F.col(key) == F.col(other), "left_anti").drop(key)

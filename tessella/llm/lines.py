@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import durable, small_enough
+from tessella.session import column, durable, small_enough, unused
 
 #: Distinct documents that may share a line.
 MAX_DOCS = 10
@@ -52,12 +52,12 @@ def drop_common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """`docs` without the lines that more than `max_docs` distinct documents share."""
     plan = durable(drop_plan(docs, max_docs))
     plan = F.broadcast(plan) if small_enough(plan) else plan.hint("shuffle_hash")
-    plan = plan.withColumnsRenamed({"text_hash": "__text_hash", "dropped": "__dropped"})
-    joined = docs.withColumn("__text_hash", F.xxhash64("text")).join(plan, "__text_hash", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__dropped", i)), "\n")
-    text = F.when(F.col("text").isNull() | F.col("__dropped").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+    key, dropped = unused(docs, "text_hash", "dropped")
+    joined = docs.withColumn(key, F.xxhash64("text")).join(plan.toDF(key, dropped), key, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i)), "\n")
+    hit = F.col("text").isNotNull() & F.col(dropped).isNotNull()
+    new = {"text": F.when(hit, kept).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length(kept).cast(kind)).otherwise(F.col("n_chars"))
+    return joined.select(*[new[c].alias(c) if c in new else column(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import durable, small_enough
+from tessella.session import column, durable, small_enough, unused
 
 WEIGHTS, DEFAULT_WEIGHT = {"src0": 4.0, "src1": 2.0, "src2": 2.0}, 1.0
 #: Tokens to take, as a share of all; seed of the shuffle.
@@ -82,10 +82,22 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the mixture takes, with virtual_finish and running_tokens, in its order."""
-    taken = durable(mix_sources(docs, keys=True, **options).groupBy("doc_id", "text_hash", "source").agg(F.min("virtual_finish").alias("virtual_finish"), F.min("running_tokens").alias("running_tokens"), F.count("*").alias("__n")))
-    t = taken.withColumnsRenamed({"doc_id": "__doc_id", "text_hash": "__text_hash", "source": "__source"})
+    """The rows of `docs` that the mixture takes, with virtual_finish and running_tokens, in its order.
+
+    Columns of `docs` that have these names already are replaced. Of repeated rows as many are
+    returned as the mixture takes; all carry the values of the first."""
+    taken = mix_sources(docs, keys=True, **options).groupBy("doc_id", "text_hash", "source")
+    taken = durable(taken.agg(F.min("virtual_finish").alias("virtual_finish"), F.min("running_tokens").alias("running_tokens"), F.count("*").alias("n"), F.max("running_tokens").alias("last")))
+    own = docs.select(*[column(c) for c in docs.columns if c.lower() not in ("virtual_finish", "running_tokens")])
+    a, b, c, n = unused(own, "other_id", "other_hash", "other_source", "n_taken")
+    t = taken.drop("last").toDF(a, b, c, "virtual_finish", "running_tokens", n)
     t = F.broadcast(t) if small_enough(taken) else t.hint("shuffle_hash")
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__text_hash")) & F.col("source").eqNullSafe(F.col("__source"))
-    out = docs.join(t, on).select(*[docs[c] for c in docs.columns], "virtual_finish", "running_tokens")
+    on = F.col("doc_id").eqNullSafe(F.col(a)) & F.xxhash64("text").eqNullSafe(F.col(b)) & F.col("source").eqNullSafe(F.col(c))
+    # Repeated rows follow each other, so only those at the cut can be taken in part.
+    cut = taken.orderBy(F.desc("last"), F.desc("virtual_finish")).first()
+    if cut is not None:
+        at_cut = F.col("doc_id").eqNullSafe(F.lit(cut["doc_id"])) & F.xxhash64("text").eqNullSafe(F.lit(cut["text_hash"])) & F.col("source").eqNullSafe(F.lit(cut["source"]))
+        if docs.where(at_cut).count() > cut["n"]:
+            own = own.where(~at_cut).unionByName(own.where(at_cut).limit(cut["n"]))
+    out = own.join(t, on).select(*[column(x) for x in own.columns], "virtual_finish", "running_tokens")
     return out.orderBy("virtual_finish", "running_tokens")

@@ -6,16 +6,17 @@ signature values at PERMUTATIONS evaluations. `BAND_ROWS` consecutive values mak
 that share a band are candidates, and the share of equal values over the whole signature, an
 unbiased estimate of Jaccard similarity, must reach `THRESHOLD`.
 
-Texts with one signature are one node. Within a band bucket a node is paired with the bucket's
-first node and with its neighbour in the order of the next band, so candidates grow with the
-rows of the buckets and never with their square: nodes that are truly alike are neighbours in
-some of 32 bands, and connected components join the rest of the group.
+Texts with one signature are one node. In a band bucket every node is first compared with the
+bucket's smallest node, and connected components are formed. Then, in every bucket whose nodes
+still lie in more than one component, all pairs across components are compared. Pairs within a
+component can't change it, so the groups are exactly the components of all alike candidate pairs,
+while a bucket of thousands of copies costs thousands of comparisons and not millions.
 
 Result of `near_duplicates`: doc_id, group_id (smallest doc_id of the group) and keep (true for
 the one row that stays). Defined cases: null text, empty text and text without a word are in no
-group and stay; a text of fewer than `SHINGLE` words is one shingle; null doc_ids come last in
+group and all stay; a text of fewer than `SHINGLE` words is one shingle; null doc_ids come last in
 their group; of repeated rows one stays; an empty table gives an empty result; columns other
-than doc_id and text are ignored, or pass unchanged in `drop_near_duplicates`.
+than doc_id and text are ignored, or pass unchanged in `drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.text import mix, shingles, slices, utf8, words
-from tessella.session import durable, small_enough
+from tessella.session import durable, small_enough, unused
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, THRESHOLD = 3, 64, 4, 0.5
 SEED = 20_240_613
@@ -79,10 +80,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u8").reshape(b.num_rows, -1)
         n = sig.shape[1]
         key = mix(sig + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.roll(key, -1, axis=1) >> np.uint64(32)
         node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)
-        cols = [pa.array(key.ravel().view(np.int64)), pa.array(order.ravel().astype(np.uint32).view(np.int32)), pa.array(node)]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "place", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
 def _alike(threshold: float):
@@ -134,48 +133,74 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes that share a band: with the bucket's first, and with the neighbour in order."""
-    bands = nodes.mapInArrow(_bands, "key bigint, place int, node bigint")
-    w = Window.partitionBy("key").orderBy("place", "node")
-    near = bands.select("node", F.lag("node").over(w).alias("before"), F.first("node").over(w).alias("head")).where(F.col("before").isNotNull())
-    pairs = near.select("node", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, head) of the nodes that share a band with another; head: the bucket's smallest node."""
+    w = Window.partitionBy("key")
+    bands = nodes.mapInArrow(_bands, "key bigint, node bigint")
+    counted = bands.select("key", "node", F.min("node").over(w).alias("head"), F.count("*").over(w).alias("n"))
+    return counted.where(F.col("n") > 1).drop("n")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keys: bool = False) -> DataFrame:
-    """doc_id, group_id and keep of every row; with `keys` also the row's text_hash."""
+def groups(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of the components of all candidate pairs that are alike; `nodes` is stored."""
+    left, right = nodes.toDF("a", "sig_a"), nodes.toDF("b", "sig_b")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+        return both.mapInArrow(_alike(threshold), "a bigint, b bigint")
+
+    members = durable(bucket_members(nodes))
+    first = durable(components(alike(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())))
+    w = Window.partitionBy("key")
+    rooted = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    spread = rooted.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high"))
+    mixed = durable(spread.where("low <> high").select("key", "node", "root"))
+    x, y = mixed.toDF("key", "a", "root_a"), mixed.toDF("key", "b", "root_b")
+    found = alike(x.join(y, "key").where("root_a < root_b").select("a", "b").distinct())
+    of = mixed.select("node", "root").distinct()
+    links = found.join(of.toDF("a", "root_a"), "a").join(of.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    second = durable(components(links)).toDF("root", "higher")
+    # A node that only cross pairs joined is its own root at first.
+    alone = second.select(F.col("root").alias("node"), "root").join(first, "node", "left_anti")
+    all_ = first.unionByName(alone)
+    return all_.join(second, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+
+
+def _decided(docs: DataFrame, threshold: float) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("text_hash"), "text")
     signed = rows.where(F.col("text").isNotNull()).mapInArrow(_signatures, f"doc_id {kind}, text_hash bigint, sig binary")
     signed = durable(signed.withColumn("node", F.xxhash64("sig")))
     nodes = durable(signed.groupBy("node").agg(F.first("sig").alias("sig")))
-    left, right = nodes.toDF("a", "sig_a"), nodes.toDF("b", "sig_b")
-    pairs = candidate_pairs(nodes).join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
-    root = components(pairs.mapInArrow(_alike(threshold), "a bigint, b bigint"))
-    grouped = signed.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = signed.select("doc_id", "text_hash", "node").join(groups(nodes, threshold), "node", "left").withColumn("root", F.coalesce("root", "node"))
     w = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    out = grouped.select("doc_id", "text_hash", F.first("doc_id").over(w).alias("group_id"), (F.row_number().over(w) == 1).alias("keep"))
-    bare = rows.where(F.col("text").isNull() | ~F.col("text").rlike("[\\p{L}\\p{N}]|[^\\x00-\\x7F]")).select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(True).alias("keep"))
-    out = out.unionByName(bare)
-    return out if keys else out.drop("text_hash")
+    named = F.first("doc_id").over(w).alias("group_id"), (F.row_number().over(w) == 1).alias("keep"), F.lit(False).alias("bare")
+    bare = rows.where(F.col("text").isNull() | ~F.col("text").rlike("[\\p{L}\\p{N}]|[^\\x00-\\x7F]"))
+    return grouped.select("doc_id", "text_hash", *named).unionByName(
+        bare.select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(True).alias("keep"), F.lit(True).alias("bare"))
+    )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, group_id and keep of every row."""
+    return _decided(docs, threshold).select("doc_id", "group_id", "keep")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that stay: one of each group."""
-    decided = durable(near_duplicates(docs, threshold, keys=True).groupBy("doc_id", "text_hash").agg(F.max("keep").alias("keep"), F.count("*").alias("n")))
-    names = {"doc_id": "__doc_id", "text_hash": "__text_hash"}
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("__key").eqNullSafe(F.col("__text_hash"))
+    decided = _decided(docs, threshold).where(~F.col("bare")).groupBy("doc_id", "text_hash")
+    decided = durable(decided.agg(F.max("keep").alias("keep"), F.count("*").alias("n")).where(~F.col("keep") | (F.col("n") > 1)))
+    key, other_id, other_hash = unused(docs, "key", "other_id", "other_hash")
+    on = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_hash))
 
     def hinted(keys: DataFrame) -> DataFrame:
-        keys = keys.select("doc_id", "text_hash").withColumnsRenamed(names)
+        keys = keys.select("doc_id", "text_hash").toDF(other_id, other_hash)
         return F.broadcast(keys) if small_enough(keys) else keys.hint("shuffle_hash")
 
-    gone = decided.where(~F.col("keep"))
-    kept = docs.withColumn("__key", text_key()).join(hinted(gone), on, "left_anti")
+    kept = docs.withColumn(key, text_key()).join(hinted(decided.where(~F.col("keep"))), on, "left_anti")
     # Rows repeated as a whole share their key with the row that stays.
-    again = decided.where(F.col("keep") & (F.col("n") > 1) & F.col("text_hash").isNotNull())
+    again = decided.where("keep")
     if again.isEmpty():
-        return kept.drop("__key")
-    once = kept.join(hinted(again), on, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return kept.join(hinted(again), on, "left_anti").unionByName(once).drop("__key")
+        return kept.drop(key)
+    once = kept.join(hinted(again), on, "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(hinted(again), on, "left_anti").unionByName(once).drop(key)

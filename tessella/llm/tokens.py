@@ -48,6 +48,10 @@ def frequent_lengths(ranks: dict[bytes, int]) -> dict[str, int]:
     return out
 
 
+#: One encoding and cache for each vocabulary that this worker has met; tasks share them.
+_WORKER: dict[str, "_Cache"] = {}
+
+
 class _Cache(dict):
     """Counts of pre-tokens; a miss is encoded once."""
 
@@ -71,9 +75,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((ranks, frequent_lengths(ranks)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, frequent = shared.value
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        pieces, size = regex.compile(PATTERN).findall, _Cache(frequent, encoding).__getitem__
+        if vocabulary not in _WORKER:
+            ranks, frequent = shared.value
+            encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _WORKER[vocabulary] = _Cache(frequent, encoding)
+        pieces, size = regex.compile(PATTERN).findall, _WORKER[vocabulary].__getitem__
         for b in batches:
             a, n = [], []
             for v in b.column(1):

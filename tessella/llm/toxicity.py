@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.text import slices, utf8, words
-from tessella.session import durable, small_enough
+from tessella.session import durable, small_enough, unused
 
 BITS, FACTORS, SCREEN = 20, 4, 5.0
 #: Labelled documents of each class to train on; rejection from this probability.
@@ -143,7 +143,8 @@ def score_toxicity(docs: DataFrame, machine: Machine, reject: float = REJECT, ke
 
 def drop_toxic(docs: DataFrame, machine: Machine, reject: float = REJECT) -> DataFrame:
     """The rows of `docs` that are not rejected; text decides, so repeated rows fare alike."""
-    gone = durable(score_toxicity(docs, machine, reject, keys=True).where("rejected").select(F.col("text_hash").alias("__gone")).distinct())
+    gone = durable(score_toxicity(docs, machine, reject, keys=True).where("rejected").select("text_hash").distinct())
+    key, other = unused(docs, "text_hash", "gone_hash")
+    gone = gone.toDF(other)
     gone = F.broadcast(gone) if small_enough(gone) else gone.hint("shuffle_hash")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    return docs.withColumn(key, F.xxhash64("text")).join(gone, F.col(key) == F.col(other), "left_anti").drop(key)
