@@ -45,6 +45,7 @@ def ext_intersect(spark, sf_dir):
     return li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).intersect(li.where("l_returnflag = 'A'").select("l_partkey"))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select p_partkey as k from part except select l_partkey from lineitem where l_returnflag = 'A' and l_quantity >= 45")
 def ext_except(spark, sf_dir):
-    return P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(P.table(spark, sf_dir, "orders").select("o_custkey"))
+    li = P.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity >= 45")
+    return P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(li.select("l_partkey"))
