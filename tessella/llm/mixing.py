@@ -36,6 +36,11 @@ def n_tokens(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def shuffle_key(seed: str) -> Column:
+    """The place of a document among those of its source."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def _running(df: DataFrame, by: list[str], bucket: str, order: list, what: str, name: str) -> DataFrame:
     """`df` with the running sum of `what` in order, over ranges numbered by `bucket`, within `by`."""
     totals = df.groupBy(*by, bucket).agg(F.sum(what).alias("__t"))
@@ -61,8 +66,7 @@ def mix_sources(
     weight = F.lit(float(default_weight))
     for s, v in sorted(weights.items()):
         weight = F.when(F.col("source") == s, F.lit(float(v))).otherwise(weight)
-    shuffle_key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), shuffle_key.alias("key"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), shuffle_key(seed).alias("key"), F.xxhash64("text").alias("text_hash"))
     rows = durable(rows.withColumn("weight", weight).where(F.col("weight") > 0))
     count, total = rows.agg(F.count("*"), F.sum("n_tokens")).collect()[0]
     budget = int((total or 0) * budget_share)
@@ -100,4 +104,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         if docs.where(at_cut).count() > cut["n"]:
             own = own.where(~at_cut).unionByName(own.where(at_cut).limit(cut["n"]))
     out = own.join(t, on).select(*[column(x) for x in own.columns], "virtual_finish", "running_tokens")
-    return out.orderBy("virtual_finish", "running_tokens")
+    return out.orderBy("virtual_finish", "running_tokens", "source", shuffle_key(options.get("seed", SEED)), "doc_id")

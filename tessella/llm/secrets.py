@@ -5,10 +5,10 @@ Its encoding is inferred (decimal, hex, base32, base62, base64), and it is teste
 "drawn evenly from that alphabet" by chi-squared uniformity, by runs above and below the
 alphabet's middle, and by lag-one serial correlation (p_chi2, p_runs, p_serial).
 
-Even digits of a card number pass such tests too, so a candidate counts as a secret only if
-it also refutes the other hypothesis, "drawn from the signs this corpus is written in": p_text
-is the chance that signs drawn from the corpus's own frequencies within the encoding would
-look as even as the candidate. Over all candidates of the corpus these p-values go through
+Digits of a card number pass such tests too, so a candidate counts as a secret only if it also
+refutes the other hypothesis, "drawn from the signs this corpus is written in": p_text bounds the
+chance that signs drawn from the corpus's own frequencies within the encoding would be as
+improbable together as the candidate's (Chernoff's bound, so it holds at any length). Over all candidates of the corpus these p-values go through
 the Benjamini-Hochberg procedure, weighted by the bits that a candidate of that length and
 encoding can carry (weights of mean one): long strings must prove less, short ones more.
 
@@ -69,15 +69,17 @@ def _chi2_tail(x: float, df: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def _log10_lower(z: float) -> float:
-    """log10 of the normal lower tail, good far out."""
-    if z > -30:
-        return math.log10(max(0.5 * math.erfc(-z / math.sqrt(2)), 1e-300))
-    return (-z * z / 2 - math.log(-z * math.sqrt(2 * math.pi))) / math.log(10)
+_TILTS = np.linspace(0.02, 1.0, 50)
 
 
-def battery(token: str, encoding: str, freq: np.ndarray) -> tuple[float, float, float, float]:
-    """(p_chi2, p_runs, p_serial, log10 p_text); freq: the corpus's counts of the alphabet's signs."""
+def text_model(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log chances of an encoding's signs in the corpus, and the log moments of Chernoff's bound."""
+    q = (freq + 0.5) / (freq + 0.5).sum()
+    return np.log(q), np.log((q[None, :] ** (1 - _TILTS[:, None])).sum(axis=1))
+
+
+def battery(token: str, encoding: str, model: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float, float]:
+    """(p_chi2, p_runs, p_serial, log10 p_text); model: that of the encoding's signs in the corpus."""
     index = _INDEX[encoding]
     x = np.array([index.get(c, 0) for c in token])
     k, n = len(index), len(x)
@@ -96,14 +98,9 @@ def battery(token: str, encoding: str, freq: np.ndarray) -> tuple[float, float,
         p_runs = 2.0 ** (1 - n)
     c = x - (k - 1) / 2
     p_serial = _normal_tail(float((c[1:] * c[:-1]).sum()) / ((k * k - 1) / 12 * math.sqrt(n - 1)))
-    q = (freq + 0.5) / (freq + 0.5).sum()
-    # Mean and variance of the statistic when signs follow q (multinomial moments).
-    s2, s3 = float((q**2).sum()), float((q**3).sum())
-    mean = k * (1 + (n - 1) * s2) - n
-    var = k * k * (2 * (n - 1) / n * (s2 - s2 * s2) + 4 * (n - 1) * (n - 2) / n * (s3 - s2 * s2))
-    # n has no term of its own in the sum over signs of O_i^2: subtracting it leaves the variance.
-    z = (chi2 - mean) / math.sqrt(max(var, 1e-9))
-    return p_chi2, p_runs, p_serial, _log10_lower(z)
+    log_q, moments = model
+    log_p = min(0.0, float((_TILTS * log_q[x].sum() + n * moments).min()))
+    return p_chi2, p_runs, p_serial, log_p / math.log(10)
 
 
 def sign_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -128,7 +125,7 @@ def sign_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 def tested(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Every candidate of every document with the results of its tests."""
     counts = sign_counts(docs)
-    freqs = {k: np.array([counts[ord(c)] for c in v], dtype=float) for k, v in ALPHABETS.items()}
+    models = {k: text_model(np.array([counts[ord(c)] for c in v], dtype=float)) for k, v in ALPHABETS.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple] = {}
@@ -139,7 +136,7 @@ def tested(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
                     if len(seen) > 20_000:
                         seen.clear()
                     enc = infer(t)
-                    seen[t] = (len(t), enc, *battery(t, enc, freqs[enc]), len(t) * math.log2(len(ALPHABETS[enc])), hashlib.sha256(t.encode()).hexdigest(), t[:4] + "…")
+                    seen[t] = (len(t), enc, *battery(t, enc, models[enc]), len(t) * math.log2(len(ALPHABETS[enc])), hashlib.sha256(t.encode()).hexdigest(), t[:4] + "…")
                 out.append(seen[t])
             if out:
                 types = [pa.int32(), pa.string(), *[pa.float64()] * 5, pa.string(), pa.string()]
