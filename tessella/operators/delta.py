@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import constants as C
+from tessella.operators.ordering import share_below
 
 
 def staleness_gate(diff: DataFrame, recorded: DataFrame, current: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def signals(diff: DataFrame, hunks: DataFrame, files: DataFrame, modules: DataFr
     exported = hit.join(defs.where("exported").select("file", "name", "line"), ["file", "name", "line"], "left_semi").select(F.col("file").alias("path")).join(changed, "path").select("slug").distinct().withColumn("exported", F.lit(True))
     broken = edges.where("dangling").select(F.col("src").alias("path")).join(changed, "path").select("slug").distinct().withColumn("dangling", F.lit(True))
     odd = surprising.select(F.explode(F.array("src", "dst")).alias("slug")).distinct().withColumn("surprise", F.lit(True))
-    m = modules.withColumn("percentile", F.percent_rank().over(Window.orderBy("pagerank")))
+    m = share_below(modules.select("slug", "pagerank", "tested_by", "tier", "symbols"), "pagerank")
     gap = (F.size(F.coalesce("tested_by", F.array().cast("array<string>"))) == 0) & (F.col("tier") <= 1) & (F.col("symbols") > 0)
     m = m.select("slug", "percentile", gap.alias("test_gap")).join(slugs, "slug")
     for extra in (exported, broken, odd, dependents):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import constants as C
+from tessella.operators.ordering import share_below
 from tessella.session import BROADCAST_ROWS, durable, small_enough
 
 
@@ -252,4 +253,4 @@ def call_confidence(calls: DataFrame, imports: DataFrame) -> DataFrame:
 
 def percentile(ranks: DataFrame, column: str = "rank") -> DataFrame:
     """Share of nodes strictly below: all equal ranks give 0."""
-    return ranks.withColumn("percentile", F.percent_rank().over(Window.orderBy(column)))
+    return share_below(ranks, column)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import numbered
+
 
 def queue(modules: DataFrame) -> DataFrame:
     """Modules in the order of work: stale prose, then none, then done; tail last, most linked first.
@@ -12,9 +14,9 @@ def queue(modules: DataFrame) -> DataFrame:
     modules: slug, prose (freshness), tier, degree.
     """
     rank = F.when(F.col("prose") == "stale", 0).when(F.col("prose") == "none", 1).otherwise(2)
-    order = ["rank", F.col("tail").asc(), F.desc("degree"), "slug"]
+    order = [F.col("rank").asc(), F.col("tail").asc(), F.desc("degree"), F.col("slug").asc()]
     m = modules.withColumn("rank", rank).withColumn("tail", F.when(F.col("tier") == 2, 1).otherwise(0))
-    return m.withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("tail")
+    return numbered(m, order).drop("tail").withColumn("position", F.col("position").cast("int"))
 
 
 def summary(modules: DataFrame) -> DataFrame:

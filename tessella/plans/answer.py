@@ -185,5 +185,6 @@ class Index:
 
     def work_batches(self, size: int = C.BATCH) -> DataFrame:
         """Modules to explain, in batches."""
-        q = self.status().where("prose in ('none', 'stale')").withColumn("one", F.lit(1))
-        return inventory.batches(q, "one", "position", size).drop("one")
+        # Done modules come last in the queue, so those to do are numbered without gaps.
+        q = self.status().where("prose in ('none', 'stale')")
+        return q.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
