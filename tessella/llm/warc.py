@@ -60,12 +60,12 @@ def leaves_of(rows: DataFrame) -> DataFrame:
 
 
 def tree_above(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
-    """The levels over stored leaves."""
+    """The levels over stored leaves; each is stored, so a walk down reads it and builds nothing again."""
     out, below = [], leaves
     for k in range(levels):
         key = F.lit(0).cast("long") if k == levels - 1 else F.floor(F.col("child") / FANOUT)
         parts = F.transform(F.sort_array(F.collect_list(F.struct("child", "digest"))), lambda x: x["digest"])
-        below = below.withColumnRenamed("node", "child").withColumn("node", key).groupBy("node").agg(F.sha2(F.concat_ws("", parts), 256).alias("digest"))
+        below = durable(below.withColumnRenamed("node", "child").withColumn("node", key).groupBy("node").agg(F.sha2(F.concat_ws("", parts), 256).alias("digest")))
         out.append(below)
     return out
 
@@ -80,7 +80,7 @@ def differing_leaves(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
             hit = suspects.withColumnRenamed("node", "up")
             x, y = (n.select("*", parent).join(hit, "up", "left_semi").drop("up") for n in (x, y))
         y = y.withColumnRenamed("digest", "other")
-        suspects = x.join(y, "node", "full_outer").where(~F.col("digest").eqNullSafe(F.col("other"))).select("node")
+        suspects = durable(x.join(y, "node", "full_outer").where(~F.col("digest").eqNullSafe(F.col("other"))).select("node"))
     return suspects
 
 
