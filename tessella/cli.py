@@ -1,4 +1,4 @@
-"""python -m tessella.cli COMMAND ...: build, find, symbols, neighbors, impact, delta, map, status, dossier, ask, check, verify, orchestrate, dead."""
+"""python -m tessella.cli COMMAND ...: build, find, symbols, neighbors, impact, delta, map, status, dossier, ask, check, verify, orchestrate, dead, serve."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import sys
 from tessella import constants as C
 from tessella.operators import symbols
 from tessella.plans.answer import Index
-from tessella.plans.build import build
+from tessella.plans.build import build_all
+from tessella.server import serve
 from tessella.session import build_session
 
 
@@ -39,7 +40,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--prose", action="store_true")
     v = sub.add_parser("verify")
     v.add_argument("answer")
-    for name in ("map", "status", "orchestrate", "dead"):
+    v.add_argument("--apply", help="a JSON file of rows claim_id, citation, verdict, note, digest")
+    for name in ("map", "status", "orchestrate", "dead", "serve"):
         sub.add_parser(name)
     return p
 
@@ -55,8 +57,7 @@ def run(argv: list[str], spark=None) -> int:
             print(r)
 
     if a.command == "build":
-        tables = build(spark, a.root, a.index, a.include, a.exclude, a.max_bytes, a.max_files, out_dir=a.index)
-        show({k: t.count() for k, t in tables.items()})
+        show(build_all(spark, a.root, a.index, include=a.include, exclude=a.exclude, max_bytes=a.max_bytes, max_files=a.max_files, out_dir=a.index))
     elif a.command == "find":
         show(x.find(a.what, a.k or C.TOP_K))
     elif a.command == "ask":
@@ -83,6 +84,10 @@ def run(argv: list[str], spark=None) -> int:
         got = x.check(a.prose)
         show(got)
         return int(not got["ok"])
+    elif a.command == "verify" and a.apply:
+        got = x.apply_verdicts(open(a.answer).read(), json.load(open(a.apply)))
+        show(got)
+        return int(not got["ok"])
     elif a.command == "verify":
         show(x.claims(open(a.answer).read()))
     elif a.command == "map":
@@ -93,6 +98,8 @@ def run(argv: list[str], spark=None) -> int:
         show(x.status())
     elif a.command == "orchestrate":
         show(x.work_batches())
+    elif a.command == "serve":
+        serve(x)
     elif a.command == "dead":
         show(symbols.dead(x.table("defs"), x.table("refs")))
     return 0

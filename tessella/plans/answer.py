@@ -174,6 +174,30 @@ class Index:
         pairs = grounding.claim_pairs(doc, self.texts())
         return pairs.orderBy(F.substring("claim_id", 2, 9).cast("int"), "citation").limit(most)
 
+    def apply_verdicts(self, text: str, rows: list[dict]) -> dict:
+        """Whether an answer's claims hold under the verdicts: none failed, all judged, every excerpt as it was judged."""
+        doc = self.spark.createDataFrame([(0, text)], "doc_id int, text string")
+        pairs = grounding.claim_pairs(doc, self.texts())
+        fields = ("claim_id", "citation", "verdict", "digest")
+        given = self.spark.createDataFrame([tuple(r.get(c) for c in fields) for r in rows], ", ".join(f"{c} string" for c in fields))
+        verdicts = grounding.backfill(given, pairs)
+        named = verdicts.join(pairs.select("claim_id", "citation", "claim", F.col("digest").alias("live")), ["claim_id", "citation"], "left")
+        drift = named.where(~F.col("digest").eqNullSafe(F.col("live"))).count()
+        failed = [r["claim_id"] for r in grounding.reduce_verdicts(verdicts).where("not ok").orderBy("claim_id").collect()]
+        cover = grounding.coverage(pairs, named).collect()[0]
+        return {"ok": not failed and not drift and bool(cover["ok"]), "failed": failed, "drifted": drift, "expected": cover["expected"], "judged": cover["judged"]}
+
+    def read(self, rel: str, start: int = 1, end: int | None = None) -> str:
+        """Lines of an indexed file, at most 2 000; paths that leave the root are refused."""
+        from pathlib import Path
+
+        root = Path(self.root).resolve()
+        p = (root / rel).resolve()
+        if not p.is_relative_to(root) or not p.is_file():
+            raise KeyError(rel)
+        last = min(end or start + C.READ_LINES - 1, start + C.READ_LINES - 1)
+        return "\n".join(files.decode_bytes(p.read_bytes()).splitlines()[max(start, 1) - 1 : last])
+
     def map(self) -> dict[str, DataFrame]:
         """The parts of an index page: languages, hubs, bridges, communities, modules."""
         m = self.table("modules")

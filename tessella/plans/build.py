@@ -99,6 +99,20 @@ def build(spark: SparkSession, root: str, index: str, include: list[str] | None
         "refs": records.select(F.col("rel").alias("file"), F.explode("refs").alias("name")).join(defs.select("name").distinct(), "name"),
         "cache": records.select("rel", "hash", "size", "mtime", "kind", F.to_json(F.struct(*records.columns)).alias("record")),
     }
+    members = durable(before.select("slug", "members")) if before is not None else None
     for name, df in tables.items():
         artifacts.write(df, index, name)
-    return {name: artifacts.read(spark, index, name) for name in tables}
+    return {name: artifacts.read(spark, index, name) for name in tables} | ({"before": members} if members is not None else {})
+
+
+def build_all(spark: SparkSession, root: str, index: str, **options) -> dict:
+    """Tables, entries and overview; returns row counts and what happened to written prose."""
+    from tessella.plans import entries
+    from tessella.plans.answer import Index
+
+    stored_entries = Index(spark, index, root).entries()
+    tables = build(spark, root, index, **options)
+    before = tables.pop("before", None)
+    told = entries.sync(spark, index, tables, durable(stored_entries) if stored_entries is not None else None, before)
+    entries.overview(index, tables)
+    return {k: t.count() for k, t in tables.items()} | told

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import constants as C
+from tessella import server
 from tessella.cli import run
 from tessella.plans.answer import Index
-from tessella.plans.build import build, module_slugs
+from tessella.plans.build import build, build_all, module_slugs
 from tessella.sources import files, git
 from tessella.streaming import incremental, windows
 
@@ -46,6 +49,7 @@ def test_a_second_build_gives_the_same_tables(spark, built):
     root, index, tables = built
     before = {k: sorted(map(str, t.collect())) for k, t in tables.items()}
     again = build(spark, str(root), index)
+    assert again.pop("before").count() == len(before["modules"])
     assert {k: sorted(map(str, t.collect())) for k, t in again.items()} == before
 
 
@@ -82,6 +86,55 @@ def test_command_line(spark, built, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["name"] == "query"
 
 
+def test_entries_keep_what_people_wrote(spark, tmp_path):
+    root, index = tmp_path / "r", str(tmp_path / "i")
+    for rel, text in TREE.items():
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text(text)
+    build_all(spark, str(root), index)
+    page = tmp_path / "i/encyclopedia/src-db.md"
+    first = page.read_text()
+    assert "- [src/db/client.ts]: query, Pool" in first and C.ENRICH_MARKER in first and (tmp_path / "i/INDEX.md").exists()
+    page.write_text(first.replace(C.ENRICH_MARKER, "Talks to the database [src/db/client.ts:1].", 1) + "\nA loose note.\n")
+    x = Index(spark, index, str(root))
+    build_all(spark, str(root), index)
+    again = page.read_text()
+    assert "Talks to the database" in again and "A loose note." in again
+    state = lambda: {r["slug"]: r["prose"] for r in x.prose_state().collect()}
+    assert state()["src-db"] == "fresh" and state()["pkg"] == "none"
+    (root / "src/db/client.ts").write_text(TREE["src/db/client.ts"] + "// more\n")
+    build_all(spark, str(root), index)
+    assert page.read_text().count("Talks to the database") == 1 and state()["src-db"] == "stale"
+    assert x.find("database").first()["slug"] == "src-db"
+    (root / "src/db").rename(root / "src/store")  # all paths change: no file in common, so the page is an orphan
+    told = build_all(spark, str(root), index)
+    assert told["orphaned"] == ["src-db"] and "Talks to" in (tmp_path / "i/encyclopedia/_orphaned/src-db.md").read_text()
+
+
+def test_verdicts_of_an_answer(spark, built):
+    x = Index(spark, built[1], str(built[0]))
+    text = "It asks the database [src/auth/login.ts:3].\n\nThere is a pool [src/db/client.ts:4]."
+    pairs = [r.asDict() for r in x.claims(text).collect()]
+    rows = [{"claim_id": p["claim_id"], "citation": p["citation"], "verdict": "supported"} for p in pairs]
+    assert len(rows) == 2 and x.apply_verdicts(text, rows)["ok"]
+    assert not x.apply_verdicts(text, rows[:1])["ok"]
+    assert x.apply_verdicts(text, [rows[0] | {"verdict": "refuted"}, rows[1]])["failed"] == ["C1"]
+    assert x.apply_verdicts(text, [rows[0] | {"digest": "old"}, rows[1]])["drifted"] == 1
+
+
+def test_server(spark, built):
+    x = Index(spark, built[1], str(built[0]))
+    call = lambda name, **a: {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}}
+    lines = [json.dumps({"jsonrpc": "2.0", "id": 0, "method": "initialize"}), json.dumps([call("symbols", query="query"), call("read", path="app.py", start=2, end=2)]), "{", json.dumps(call("find")), json.dumps(call("read", path="../x")), json.dumps({"jsonrpc": "2.0", "method": "note"})]
+    out = io.StringIO()
+    server.serve(x, io.StringIO("\n".join(lines)), out)
+    got = [json.loads(r) for r in out.getvalue().splitlines()]
+    assert got[0]["result"]["serverInfo"]["name"] == "tessella"
+    assert json.loads(got[1][0]["result"]["content"][0]["text"])[0]["refs"] == ["src/auth/login.ts"] and json.loads(got[1][1]["result"]["content"][0]["text"]) == "import os"
+    assert got[2]["error"]["code"] == -32700 and "missing argument" in got[3]["error"]["message"] and got[4]["result"]["isError"] and len(got) == 5
+    assert "withheld" in server.capped("x" * 2_000_000)
+
+
 def test_decoding():
     assert files.decode_bytes(b"\xef\xbb\xbfhi") == "hi" and files.decode_bytes("hé".encode("utf-16")) == "hé"
     assert files.decode_bytes(b"caf\xe9") == "café" and files.decode_bytes(b"a\0b") == ""
