@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INNER = r"\[(?:[^\[\]\n]|\[[^\]\n]*\])*\]"
+_INNER = r"\[[^\[\]\n]*+(?:\[[^\]\n]*+\][^\[\]\n]*+)*+\]"
 #: A bracket that ends in a file name; brackets within the path, up to one nested, belong to it.
-ANCHORED = rf"\[((?:[^\[\]\n]|{_INNER})*?\.[A-Za-z0-9]{{1,8}}(?::[0-9]+(?:-[0-9]+)?)?)\]"
+#: Runs of other signs are taken whole, so a long line costs no depth of the matcher's stack.
+ANCHORED = rf"\[([^\[\]\n]*+(?:{_INNER}[^\[\]\n]*+)*+)(?<=\.[A-Za-z0-9]{{1,8}}(?::[0-9]{{1,9}}(?:-[0-9]{{1,9}})?)?)\]"
 PLAIN = r"\[([^\[\]\n]+)\]"
 PATH_LIKE = r"/|\.[A-Za-z0-9]{1,8}(?::[0-9]|$)"
 _LINK = r"\[([^\]\n]*)\]\([^)\n]*\)"

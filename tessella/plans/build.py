@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,9 @@ def build(spark: SparkSession, root: str, index: str, include: list[str] | None
     """
     from tessella.operators.inventory import cap_files
 
-    scanned = files.scan(spark, root, include, exclude, max_bytes, out_dir)
+    own = Path(root, ".gitignore")
+    ignored = files.ignore_globs(own.read_text()) if own.is_file() else []
+    scanned = files.scan(spark, root, include, [*(exclude or []), *ignored], max_bytes, out_dir)
     capped = cap_files(scanned.select("rel"), max_files)
     scanned = scanned.join(capped.select("rel"), "rel", "left_semi")
     old = artifacts.read(spark, index, "cache")

@@ -140,6 +140,14 @@ def test_decoding():
     assert files.decode_bytes(b"caf\xe9") == "café" and files.decode_bytes(b"a\0b") == ""
 
 
+def test_ignored_files_are_not_scanned(spark, tmp_path):
+    for rel in ("keep.py", "out/a.py", "deep/out/b.py", "x.log", "only/here.py", "sub/only/here.py"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text("x = 1\n")
+    globs = files.ignore_globs("# note\nout/\n*.log\n/only\n")
+    assert {r["rel"] for r in files.scan(spark, str(tmp_path), exclude=globs).select("rel").collect()} == {"keep.py", "sub/only/here.py"}
+
+
 def test_markdown_summary():
     assert files.extract_markdown("# T\n\n- a list\n\nLead-in:\n\nThe point.\n\n## Sub\n\nNo")[:2] == ("T", "The point.")
     assert files.extract_markdown("# T\n\n## Sub\n\ntext")[1] is None

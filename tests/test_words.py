@@ -81,6 +81,7 @@ def test_vectors(spark):
         ("[app/actualite/[slug]/page.tsx:10] [app/[[...not-found]]/page.tsx]", [("app/actualite/[slug]/page.tsx", 10, None), ("app/[[...not-found]]/page.tsx", None, None)]),
         ("```\n[src/a.ts:1]\n```\n`[src/b.ts]` <!-- [src/c.ts] -->", []),
         ("[src/a.ts:5.] [guide](docs/x) [src/b.ts](http://x)", [("src/b.ts", None, None), ("src/a.ts", 5, None)]),
+        ("[" + "long " * 20_000 + "[a [b.ts:2]] [x [y].ts]", [("b.ts", 2, None), ("x [y].ts", None, None)]),
         ("open [a\n```\nx\n```\nb/c.ts]", []),
     ],
 )
