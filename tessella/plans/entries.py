@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella import constants as C
 from tessella.functions import cite
 from tessella.operators import inventory, prose, status
+from tessella.operators.graph import untested
+from tessella.session import durable
 from tessella.sources import artifacts
 
 ORDER = ["header", "business", "code", "links", "tests", "gaps", "gotchas"]
@@ -63,8 +65,6 @@ def serialise(regions: list[tuple[str, str, str]]) -> str:
 def _humans(entries: DataFrame) -> DataFrame:
     """(slug, key, body): repeated keys with other bodies get a name by their body."""
     rows = entries.where("ok").select("slug", F.posexplode("regions").alias("n", "r")).where("r.type = 'human'").select("slug", "n", "r.key", "r.body").dropDuplicates(["slug", "key", "body"])
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("slug", "key").orderBy("n")) == 1
     return rows.withColumn("key", F.when(first, F.col("key")).otherwise(F.concat("key", F.lit("-dup-"), F.substring(F.sha1("body"), 1, 8)))).select("slug", "key", "body")
 
@@ -86,7 +86,7 @@ def sync(spark: SparkSession, index: str, tables: dict[str, DataFrame], entries:
         fresh = m.select("slug", F.explode("members").alias("member")).join(entries.select("slug"), "slug", "left_anti")
         gone = before.join(m.select("slug"), "slug", "left_anti").select("slug", F.explode("members").alias("member"))
         moved = prose.migrations(gone, fresh)
-    inherited = humans.join(F.broadcast(moved.select(F.col("old").alias("slug"), "new")), "slug").select(F.col("new").alias("slug"), "key", "body")
+    inherited = humans.join(moved.select(F.col("old").alias("slug"), "new"), "slug").select(F.col("new").alias("slug"), "key", "body")
     spread = prose.merge(spec(tables), humans.join(m.select("slug"), "slug", "left_semi"), inherited).join(conflicts, "slug", "left_anti")
     place = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("key")).cast("int"), F.lit(0))
     rank = F.when(place > 0, place).otherwise(len(ORDER) + 1)
@@ -110,8 +110,6 @@ def sync(spark: SparkSession, index: str, tables: dict[str, DataFrame], entries:
     source = prose.source_hash(m.select("slug", F.explode("members").alias("rel")), tables["files"].select("rel", "hash"), "slug")
     now = digests.join(source, "slug").join(moved.select(F.col("new").alias("slug"), F.col("old").alias("predecessor")), "slug", "left")
     empty = spark.createDataFrame([], "slug string, digest string, source string, baselined boolean")
-    from tessella.session import durable
-
     artifacts.write(durable(prose.carry(now, empty if old is None else old, old is None)), index, "prose")
     return {"conflicts": [r["slug"] for r in conflicts.collect()], "migrated": [f"{r['old']} -> {r['new']}" for r in moved.collect()], "orphaned": sorted(orphans)}
 
@@ -121,8 +119,6 @@ def overview(index: str, tables: dict[str, DataFrame], most: int = 120) -> str:
     m = tables["modules"].withColumn("degree", F.col("deg_in") + F.col("deg_out"))
     hubs = status.hubs(m, 12)
     tested = m.where(F.size("tested_by") > 0).select("slug")
-    from tessella.operators.graph import untested
-
     total = m.count()
     parts = [
         ("Languages", [f"- {r['lang']}: {r['n']}" for r in inventory.histogram(tables["files"].where("lang is not null"), "lang", 8).collect()]),

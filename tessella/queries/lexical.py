@@ -248,5 +248,5 @@ def encode_texts(spark, sf_dir):
     voc = P.table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("weights"), "vec_id")
     words = docs.select(F.explode(F.array_distinct(lex.raw_tokens(F.lower(lex.fold(F.col("text")))))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     n = voc.count()
-    voc = words.select("token", F.pmod(F.xxhash64("token"), F.lit(n)).alias("vec_id")).join(F.broadcast(voc), "vec_id").select("token", "weights")
+    voc = words.select("token", F.pmod(F.xxhash64("token"), F.lit(n)).alias("vec_id")).join(voc, "vec_id").select("token", "weights")
     return S.encode(docs, voc).withColumn("v", F.array_join(F.col("v").cast("array<string>"), " "))

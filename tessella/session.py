@@ -55,8 +55,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of keys up to which a side is broadcast; past it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows of keys up to which a side is broadcast (some tens of MB); past it the join shuffles.
+BROADCAST_ROWS = 250_000
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
