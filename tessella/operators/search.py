@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella import constants as C
 from tessella.functions import lex, paths, vectors
-from tessella.session import BROADCAST_ROWS, small_enough
+from tessella.session import BROADCAST_ROWS, durable, small_enough
 
 RESULT = "slug string, path string, title string, tier int, score double, degree bigint, matched array<string>, files array<string>"
 
@@ -195,6 +195,7 @@ def expand(modules: DataFrame, edges: DataFrame, scored: DataFrame, query: str,
     if "community" not in modules.columns:
         m = m.withColumn("community", F.lit(None).cast("int"))
     limit = threshold if threshold is not None else hub_threshold(m.select("degree")).collect()[0][0]
+    scored = durable(scored)
     seeds = pick_seeds(scored, query)
     top = scored.orderBy(*ranked(scored)).limit(k).withColumn("via", F.lit(None).cast("string"))
     top = top.withColumn("stage", F.lit(0)).withColumn("place", F.row_number().over(Window.orderBy(*ranked(scored))))
