@@ -1,7 +1,8 @@
 """Operator 1: secret scan by a battery of randomness tests.
 
-Every maximal run of at least `MIN_LENGTH` signs of an encoding alphabet is a candidate.
-Its encoding is inferred (decimal, hex, base32, base62, base64), and it is tested against
+Every maximal run of at least `MIN_LENGTH` signs of any encoding alphabet is a candidate: the runs
+of all alphabets' signs together, and within each the runs of every single alphabet, so a key
+is also seen where it touches a word by _, -, / or +. Each span counts once. Its encoding is inferred (decimal, hex, base32, base62, base64), and it is tested against
 "drawn evenly from that alphabet" by chi-squared uniformity, by runs above and below the
 alphabet's middle, and by lag-one serial correlation (p_chi2, p_runs, p_serial).
 
@@ -10,7 +11,8 @@ refutes the other hypothesis, "drawn from the signs this corpus is written in":
 chance that signs drawn from the corpus's own frequencies within the encoding would be as
 improbable together as the candidate's (Chernoff's bound, so it holds at any length). Over all candidates of the corpus these p-values go through
 the Benjamini-Hochberg procedure, weighted by the bits that a candidate of that length and
-encoding can carry (weights of mean one): long strings must prove less, short ones more.
+encoding can carry (weights of mean one): long strings must prove less, short ones more. Of
+secrets that lie in one another only the longest is reported.
 
 Defined cases: null or empty text has no candidate; repeated rows are each reported; a string
 of any length is tested whole; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,15 +47,22 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
+_RUNS = [f"[{re.escape(''.join(v))}]" for v in ALPHABETS.values()]
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
-SCHEMA = "doc_id {id}, ordinal int, length int, encoding string, p_chi2 double, p_runs double, p_serial double, log10_p_text double, bits double, secret_sha256 string, preview string"
+SCHEMA = "doc_id {id}, ordinal int, start int, length int, encoding string, p_chi2 double, p_runs double, p_serial double, log10_p_text double, bits double, secret_sha256 string, preview string"
 
 
 def candidates(text: Column, min_length: int = MIN_LENGTH) -> Column:
-    """All maximal runs of encoding signs, in order."""
+    """All maximal runs of encoding signs, in order; `parts` are the candidates within one."""
     return F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9+/_-]{{{min_length},}}"), F.lit(0))
 
 
+def parts(run: str, min_length: int = MIN_LENGTH) -> list[tuple[int, int]]:
+    """(start, end) of the run and of the maximal runs of each alphabet within it, each span once."""
+    spans = {m.span() for signs in _RUNS for m in re.finditer(f"{signs}{{{min_length},}}", run)}
+    return sorted(spans | {(0, len(run))})
+
+
 def infer(token: str) -> str:
     """The smallest alphabet that holds every sign; a mixed one is read as base64."""
     signs = set(token)
@@ -123,38 +133,44 @@ def sign_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def tested(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """Every candidate of every document with the results of its tests."""
+    """Every candidate of every document with the results of its tests; `run` numbers the rows they come from."""
     counts = sign_counts(docs)
     models = {k: text_model(np.array([counts[ord(c)] for c in v], dtype=float)) for k, v in ALPHABETS.items()}
 
+    def test(t: str) -> tuple:
+        enc = infer(t)
+        return len(t), enc, *battery(t, enc, models[enc]), len(t) * math.log2(len(ALPHABETS[enc])), hashlib.sha256(t.encode()).hexdigest(), t[:4] + "…"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple] = {}
+        seen: dict[str, list[tuple]] = {}
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
+            at, out = [], []
+            for i, t in enumerate(b.column(3).to_pylist()):
                 if t not in seen:
                     if len(seen) > 20_000:
                         seen.clear()
-                    enc = infer(t)
-                    seen[t] = (len(t), enc, *battery(t, enc, models[enc]), len(t) * math.log2(len(ALPHABETS[enc])), hashlib.sha256(t.encode()).hexdigest(), t[:4] + "…")
-                out.append(seen[t])
+                    seen[t] = [(s, *test(t[s:e])) for s, e in parts(t, min_length)]
+                out += seen[t]
+                at += [i] * len(seen[t])
             if out:
-                types = [pa.int32(), pa.string(), *[pa.float64()] * 5, pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, type=k) for v, k in zip(zip(*out), types))], names=names)
+                types = [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.string(), pa.string()]
+                row = b.select([0, 1, 2]).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array(v, type=k) for v, k in zip(zip(*out), types))], names=names)
 
     found = docs.select(F.col("doc_id"), candidates(F.col("text"), min_length).alias("found")).where(F.size("found") > 0)
-    rows = found.select("doc_id", F.posexplode("found").alias("ordinal", "token"))
-    schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
+    rows = found.select(F.monotonically_increasing_id().alias("run"), "doc_id", F.posexplode("found").alias("ordinal", "token"))
+    schema = "run bigint, " + SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
     names = [x.split()[0] for x in schema.split(", ")]
     return rows.mapInArrow(run, schema)
 
 
 def find_secrets(docs: DataFrame, fdr: float = FDR, level: float = BATTERY_LEVEL, min_length: int = MIN_LENGTH) -> DataFrame:
-    """One row for each occurrence of a secret: document, place among its candidates, encoding, tests.
+    """One row for each occurrence of a secret: document, place of its run, start in the run, encoding, tests.
 
     A secret passes every test of the battery at `level` / 3 and is among the discoveries of
     the weighted procedure at `fdr`. Weighted p-values are rounded up to a hundredth of a power
     of ten, so ranks are counted over a table of fixed size and the control stays conservative.
+    Secrets within another one are left out after that.
     """
     all_ = durable(tested(docs, min_length))
     mean = all_.agg(F.avg("bits")).collect()[0][0] or 1.0
@@ -166,6 +182,9 @@ def find_secrets(docs: DataFrame, fdr: float = FDR, level: float = BATTERY_LEVEL
     bins = bins.withColumn("m", total).where(F.pow(F.lit(10.0), F.col("step") / 100) <= F.col("rank") / F.col("m") * fdr)
     cut = bins.agg(F.max("step").alias("cut")).collect()[0]["cut"]
     if cut is None:
-        return all_.where(F.lit(False))
+        return all_.where(F.lit(False)).drop("run")
     even = F.least("p_chi2", "p_runs", "p_serial") >= level / 3
-    return ranked.where((F.col("step") <= cut) & even).drop("step")
+    end = F.col("start") + F.col("length")
+    before = Window.partitionBy("run", "ordinal").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    secrets = ranked.where((F.col("step") <= cut) & even).withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(0)))
+    return secrets.where(end > F.col("reach")).drop("run", "step", "reach")

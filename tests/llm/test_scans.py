@@ -62,6 +62,22 @@ def test_secrets_against_brute_force_and_planted(spark, make_docs):
     assert len(planted & set(got)) >= 0.9 * len(planted) and len(set(got) - planted) <= 1
 
 
+def test_secrets_that_touch_words(spark, make_docs):
+    """Keys joined to words by signs of other alphabets are found, each once and without the word."""
+    import hashlib
+
+    rng = random.Random(12)
+    rows, _ = secret_corpus()
+    planted = set()
+    for i, (before, after, n) in enumerate([("key_", "", 40), ("api-key-", "", 32), ("v1/", "", 32), ("", "-us21", 32), ("a+", "/b_c", 40)] * 10, 1000):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        planted.add((i, hashlib.sha256(key.encode()).hexdigest()))
+        rows.append((i, f"token = {before}{key}{after} and more"))
+    got = [(r["doc_id"], r["secret_sha256"]) for r in S.find_secrets(make_docs(rows)).collect() if r["doc_id"] >= 1000]
+    assert len(planted & set(got)) >= 0.9 * len(planted) and len(got) == len(set(got))
+    assert [S.parts(x, 4) for x in ("ab12-cd34", "key_ab12", "QRST+ab12")] == [[(0, 4), (0, 9), (5, 9)], [(0, 8), (4, 8)], [(0, 4), (0, 9), (5, 9)]]
+
+
 def test_battery_sees_structure():
     even = S.text_model(np.ones(16))
     rng = random.Random(1)
