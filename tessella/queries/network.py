@@ -153,7 +153,7 @@ def louvain_communities(spark, sf_dir):
 
 @query()
 def betweenness(spark, sf_dir):
-    e = P.transitions(spark, sf_dir).unionByName(P.links(spark, sf_dir).where("src like 'n%'").select("src", "dst", "weight", "kind"))
+    e = P.transitions(spark, sf_dir).unionByName(P.links(spark, sf_dir).select("src", "dst", "weight", "kind"))
     return G.betweenness(_nodes(e), e).withColumn("betweenness", F.round("betweenness", 6))
 
 

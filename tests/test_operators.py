@@ -158,6 +158,33 @@ def test_pagerank_has_mean_one_and_betweenness_a_bridge(spark):
     assert {x["node"]: x["betweenness"] for x in graph.betweenness(n, e).collect()} == {"a": 0.0, "b": 2.0, "c": 2.0, "d": 0.0}
 
 
+def test_betweenness_query_covers_the_whole_graph(spark, sf):
+    """Against shortest paths between all pairs, counted one by one."""
+    from tessella import projection as P
+    from tessella.queries import network
+
+    e = P.transitions(spark, sf).select("src", "dst").union(P.links(spark, sf).select("src", "dst"))
+    ahead = {}
+    for a, b in e.distinct().collect():
+        ahead.setdefault(a, set()).add(b)
+        ahead.setdefault(b, set())
+    want = dict.fromkeys(ahead, 0.0)
+    for s in ahead:
+        paths, level, seen = {s: [[s]]}, {s}, {s}
+        while level:
+            nxt = {w for v in level for w in ahead[v]} - seen
+            for w in nxt:
+                paths[w] = [p + [w] for v in level if w in ahead[v] for p in paths[v]]
+            level, seen = nxt, seen | nxt
+        for own in paths.values():
+            for p in own:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(own)
+    got = {r["node"]: r["betweenness"] for r in network.betweenness(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-5 for v in want)
+    assert all(got[v] > 0 for v in want if v[0] == "n")
+
+
 def test_communities_of_two_cliques_keep_their_numbers(spark):
     e = [(f"{g}{i}", f"{g}{j}", "use", 1) for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0", "use", 1)]
     edges, n = spark.createDataFrame(e, E), spark.createDataFrame([(f"{g}{i}",) for g in "ab" for i in range(4)], "node string")
