@@ -2,7 +2,7 @@
 
 Every maximal run of at least `MIN_LENGTH` signs of any encoding alphabet is a candidate: the runs
 of all alphabets' signs together, and within each the runs of every single alphabet, so a key
-is also seen where it touches a word by _, -, / or +. Each span counts once. Its encoding is inferred (decimal, hex, base32, base62, base64), and it is tested against
+is also seen where it touches a word by _, -, / or +. Each span counts once. Its encoding is inferred (decimal, hex, base32, base36, base62, base64; base36 is tested as base62 too), and it is tested against
 "drawn evenly from that alphabet" by chi-squared uniformity, by runs above and below the
 alphabet's middle, and by lag-one serial correlation (p_chi2, p_runs, p_serial).
 
@@ -42,6 +42,8 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -69,6 +71,12 @@ def infer(token: str) -> str:
     return next((k for k, own in _SETS.items() if signs <= own), "base64")
 
 
+def readings(token: str) -> list[str]:
+    """The encodings a candidate is tested in: a short key of one case may refute text as base62 only."""
+    enc = infer(token)
+    return [enc, "base62"] if enc in ("base36", "BASE36") else [enc]
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -137,8 +145,7 @@ def tested(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     counts = sign_counts(docs)
     models = {k: text_model(np.array([counts[ord(c)] for c in v], dtype=float)) for k, v in ALPHABETS.items()}
 
-    def test(t: str) -> tuple:
-        enc = infer(t)
+    def test(t: str, enc: str) -> tuple:
         return len(t), enc, *battery(t, enc, models[enc]), len(t) * math.log2(len(ALPHABETS[enc])), hashlib.sha256(t.encode()).hexdigest(), t[:4] + "…"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +156,7 @@ def tested(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
                 if t not in seen:
                     if len(seen) > 20_000:
                         seen.clear()
-                    seen[t] = [(s, *test(t[s:e])) for s, e in parts(t, min_length)]
+                    seen[t] = [(s, *test(t[s:e], enc)) for s, e in parts(t, min_length) for enc in readings(t[s:e])]
                 out += seen[t]
                 at += [i] * len(seen[t])
             if out:
@@ -185,6 +192,6 @@ def find_secrets(docs: DataFrame, fdr: float = FDR, level: float = BATTERY_LEVEL
         return all_.where(F.lit(False)).drop("run")
     even = F.least("p_chi2", "p_runs", "p_serial") >= level / 3
     end = F.col("start") + F.col("length")
-    before = Window.partitionBy("run", "ordinal").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("run", "ordinal").orderBy("start", F.desc("length"), "encoding").rowsBetween(Window.unboundedPreceding, -1)
     secrets = ranked.where((F.col("step") <= cut) & even).withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(0)))
     return secrets.where(end > F.col("reach")).drop("run", "step", "reach")

@@ -78,6 +78,22 @@ def test_secrets_that_touch_words(spark, make_docs):
     assert [S.parts(x, 4) for x in ("ab12-cd34", "key_ab12", "QRST+ab12")] == [[(0, 4), (0, 9), (5, 9)], [(0, 8), (4, 8)], [(0, 4), (0, 9), (5, 9)]]
 
 
+def test_secrets_of_one_case(spark, sf, make_docs):
+    """Long keys of digits and letters of one case are even over their own 36 signs."""
+    rng = random.Random(13)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    n = 1000
+    for signs in (string.ascii_lowercase, string.ascii_uppercase):
+        for length in (32, 40, 64) * 8:
+            rows.append((n, f"token = {''.join(rng.choice(string.digits + signs) for _ in range(length))} and more"))
+            n += 1
+    got = [(r["doc_id"], r["length"]) for r in S.find_secrets(make_docs(rows)).collect() if r["doc_id"] >= 1000]
+    for first in (1000, 1024):
+        want = {(first + i, length) for i, length in enumerate((32, 40, 64) * 8)}
+        assert len(want & set(got)) >= 0.9 * len(want)
+    assert len(got) == len({x[0] for x in got})
+
+
 def test_battery_sees_structure():
     even = S.text_model(np.ones(16))
     rng = random.Random(1)
