@@ -120,7 +120,7 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
             row_of[d[2], d[1], d[0]] = rows
         parts.append(new)
         size += len(ctx)
-    units = np.minimum(np.rint(np.concatenate(parts) * UNIT), 65535).astype(np.uint16)
+    units = np.rint(np.concatenate(parts) * UNIT).astype(np.uint32)
     return Model(languages, rank, row_of.ravel(), units)
 
 

@@ -51,6 +51,16 @@ def test_code_lengths_are_those_of_a_plain_context_tree():
             assert abs(got[i, j] - ppm_bits(train[lang], t, L.ORDER, seen)) < 0.002 * len(t) + 1e-9, (t, lang)
 
 
+def test_dear_bytes_cost_their_whole_length():
+    """A byte unseen after long runs costs more than 32 bits."""
+    train = {"a": [b"a" * 1_000_000 + b"b"], "b": [b"b"]}
+    model = L.train(train)
+    text = b"aaaaz"
+    bits = ppm_bits(train["a"], text, L.ORDER, set())
+    got = model.code_lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0] / L.UNIT
+    assert bits > 70 and abs(got - bits) < 0.5 / L.UNIT * len(text)
+
+
 def test_a_text_longer_than_a_piece_costs_the_same():
     model = L.train({"a": [b"the quick brown fox "], "b": [b"lorem ipsum dolor "]})
     t = (b"the quick lorem fox ipsum " * 30_000)[: (1 << 18) + 12345]
