@@ -1,19 +1,26 @@
 """Operator 8: toxicity by a factorization machine over hashed terms.
 
-Terms are the words of a text, hashed to `BUCKETS`; presence counts, not frequency. On a bounded
-sample of labelled documents terms that differ between the classes beyond `SCREEN` in z are kept
-and all others have weight zero, so the length of a clean text adds no noise. The machine
+Terms are the words of a text, hashed to `BUCKETS`; presence counts, not frequency. The machine
 
     score = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
-is fitted on them by Adam under a logistic loss; the factors v give every pair of terms a weight
-of its own, as for an insult together with a group that is mentioned. The pair sum is computed
-in time linear in the terms of a text.
-
-Defined cases: null and empty texts hold no term and score the bias, never rejected; a text of
-any length is scored whole; labels without a document, null labels and documents without a label
-are not trained on; without both classes in the labels nothing is rejected; repeated rows are
-each scored; an empty table gives an empty result; other columns are ignored.
+is fitted by Adam under a logistic loss on a bounded sample of labelled documents; the factors v
+give every pair of terms a weight of its own, as for an insult together with a group that is
+mentioned. The pair sum is computed in time linear in the terms of a text.
+
+The machine sees every term that tells by itself (|z| > `SCREEN` between the classes) and every
+term of a pair that tells beyond that: all pairs of terms with `PAIR_LEAST` sampled texts are
+tested on what the machine of the single terms leaves unexplained (|z| > `PAIR_SCREEN`), so words
+that are balanced alone and telling together are learned too. All other terms have weight zero,
+so the length of a clean text adds no noise.
+
+Defined cases: null and empty texts and those without a word hold no term: they score the bias
+and are never rejected; a text of any length is scored whole; labels without a document, null
+labels and documents without a label are not trained on; a document with both labels is trained
+on under both; at most the sampled number of rows of each class is trained on however often a
+doc_id is repeated; without both classes in the labels nothing is rejected; repeated rows are
+each scored; an empty table gives an empty result; other columns are ignored, or pass unchanged in
+`drop_toxic`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +30,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.text import slices, utf8, words
-from tessella.session import durable, small_enough, unused
 
 BITS, FACTORS, SCREEN = 20, 4, 5.0
+#: Deviation from which a pair tells beyond its terms, and sampled texts that a term of such a pair is in.
+PAIR_SCREEN, PAIR_LEAST = 6.5, 30
 #: Labelled documents of each class to train on; rejection from this probability.
 TRAIN_TOXIC, TRAIN_CLEAN, REJECT = 3000, 6000, 0.5
 
@@ -59,92 +67,148 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, off = utf8(b.column(1))
+        data, off = utf8(b.column(3))
         out = []
         for i, j in slices(off):
             h, bounds = words(data, off[i : j + 1])
             t = _buckets(h)
             out += [np.unique(t[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "terms"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.int32()))], names=["h", "t", "toxic", "terms"])
 
 
-def train(terms: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, screen: float = SCREEN, steps: int = 400) -> Machine:
-    """Screens the terms and fits the machine."""
-    slot = np.full(1 << BITS, -1, np.int32)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    if not n1 or not n0:
-        return Machine(slot, -30.0, np.zeros(1), np.zeros((1, factors)))
-    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    all_ = np.concatenate(terms).astype(np.int64)
-    toxic = np.bincount(all_[y[doc] == 1], minlength=1 << BITS)
-    clean = np.bincount(all_[y[doc] == 0], minlength=1 << BITS)
-    p = (toxic + clean) / (n1 + n0)
-    z = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    cols = np.flatnonzero((np.abs(z) > screen) & (toxic + clean >= 5))
-    slot[cols] = np.arange(len(cols))
-    x = np.zeros((len(terms), max(1, len(cols))))
-    hit = slot[all_] >= 0
-    x[doc[hit], slot[all_[hit]]] = 1
+def _fitted(x: np.ndarray, y: np.ndarray, factors: int, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """[w0, w, v] by Adam over all rows at once, and the scores of the rows."""
+    n1, n0 = y.sum(), (1 - y).sum()
     rng = np.random.default_rng(7)
     theta = [np.array([np.log(n1 / n0)]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], factors))]
     m1, m2 = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    for t in range(1, steps + 1):
+
+    def score() -> tuple[np.ndarray, np.ndarray]:
         w0, w, v = theta
         xv = x @ v
-        s = w0 + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1))
+        return xv, w0 + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1))
+
+    for t in range(1, steps + 1):
+        xv, s = score()
         g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
-        grads = [np.array([g.sum()]), x.T @ g + 1e-5 * w, x.T @ (g[:, None] * xv) - (x.T @ g)[:, None] * v + 1e-4 * v]
+        xg = x.T @ g
+        grads = [np.array([g.sum()]), xg + 1e-5 * theta[1], x.T @ (g[:, None] * xv) - xg[:, None] * theta[2] + 1e-4 * theta[2]]
         for k in range(3):
             m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
             m2[k] = 0.999 * m2[k] + 0.001 * grads[k] ** 2
             theta[k] = theta[k] - 0.05 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-9)
+    return theta, score()[1]
+
+
+class _Sample:
+    """Presence of terms in the sampled texts."""
+
+    def __init__(self, terms: list[np.ndarray]):
+        self.n = len(terms)
+        self.doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        self.term = np.concatenate(terms).astype(np.int64)
+
+    def dense(self, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of every bucket, texts x terms) for these terms."""
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[cols] = np.arange(len(cols))
+        x = np.zeros((self.n, max(1, len(cols))), np.float32)
+        at = slot[self.term]
+        x[self.doc[at >= 0], at[at >= 0]] = 1
+        return slot, x
+
+    def telling_pairs(self, cols: np.ndarray, y: np.ndarray, p: np.ndarray, screen: float, block: int = 512) -> np.ndarray:
+        """Terms of pairs whose texts deviate from the chances p, block by block over all pairs."""
+        left, spread = (y - p).astype(np.float32), np.maximum(p * (1 - p), 1e-3).astype(np.float32)
+        parts, found = [cols[i : i + block] for i in range(0, len(cols), block)], [np.zeros(0, np.int64)]
+        for i, a in enumerate(parts):
+            xa = self.dense(a)[1]
+            moved, noise = (xa * left[:, None]).T, (xa * spread[:, None]).T
+            for j in range(i, len(parts)):
+                xb = xa if i == j else self.dense(parts[j])[1]
+                var = noise @ xb
+                z = np.abs(moved @ xb) / np.sqrt(np.maximum(var, 1e-9))
+                z[var < 0.05 * PAIR_LEAST] = 0  # too few texts for z to be normal
+                if i == j:
+                    np.fill_diagonal(z, 0)
+                r, c = np.nonzero(z > screen)
+                found += [a[r], parts[j][c]]
+        return np.unique(np.concatenate(found))
+
+
+def train(terms: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, screen: float = SCREEN, pair_screen: float = PAIR_SCREEN, steps: int = 400) -> Machine:
+    """Selects the terms, alone and in pairs, and fits the machine."""
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    if not n1 or not n0:
+        return Machine(np.full(1 << BITS, -1, np.int32), -30.0, np.zeros(1), np.zeros((1, factors)))
+    sample = _Sample(terms)
+    toxic = np.bincount(sample.term[y[sample.doc] == 1], minlength=1 << BITS)
+    clean = np.bincount(sample.term[y[sample.doc] == 0], minlength=1 << BITS)
+    p = (toxic + clean) / (n1 + n0)
+    z = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    single = np.flatnonzero((np.abs(z) > screen) & (toxic + clean >= 5))
+    slot, x = sample.dense(single)
+    theta, s = _fitted(x, y, factors, steps)
+    pairs = sample.telling_pairs(np.flatnonzero(toxic + clean >= PAIR_LEAST), y, 1 / (1 + np.exp(-np.clip(s, -30, 30))), pair_screen)
+    if len(np.setdiff1d(pairs, single)):
+        slot, x = sample.dense(np.union1d(single, pairs))
+        theta, _ = _fitted(x, y, factors, steps)
     return Machine(slot, float(theta[0][0]), theta[1], theta[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Machine:
-    """The machine of the labelled documents that come first by a hash of their id, bounded by class."""
-    w = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picked = known.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(w))
-    picked = picked.where(F.col("n") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).select("doc_id", "toxic").distinct()
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_terms, "toxic int, terms array<int>").toArrow()
-    y = got.column("toxic").to_numpy().astype(float)
-    terms = [np.asarray(t.values, np.int32) for t in got.column("terms")] if len(y) else []
+    """The machine of the labelled documents that come first by a hash of their id: at most `toxic` and `clean` rows."""
+    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("y"), F.xxhash64("doc_id").alias("h"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    y, terms = [], []
+    for label, most in ((0, clean), (1, toxic)):
+        # Both limits are top-k by task, so no class passes through one; what is broadcast has `most` rows.
+        ids = known.where(F.col("y") == label).select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(most)
+        rows = texts.join(F.broadcast(ids), "doc_id").select("h", F.xxhash64("text").alias("t"), F.lit(label).alias("toxic"), "text")
+        made = rows.mapInArrow(_terms, "h bigint, t bigint, toxic int, terms array<int>")
+        got = made.orderBy("h", "t").limit(most).toArrow()
+        y += got.column("toxic").to_pylist()
+        terms += [np.asarray(t.values, np.int32) for t in got.column("terms")]
     order = sorted(range(len(y)), key=lambda i: (y[i], len(terms[i]), terms[i].tobytes()))
-    return train([terms[i] for i in order], y[order])
-
-
-def score_toxicity(docs: DataFrame, machine: Machine, reject: float = REJECT, keys: bool = False) -> DataFrame:
-    """doc_id, probability and rejected of every row; with `keys` also the row's text_hash."""
+    return train([terms[i] for i in order], np.array([y[i] for i in order], float))
+
+
+def _scored(m: Machine, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, whether there is a term) of texts."""
+    data, off = utf8(text)
+    s, some = np.full(len(text), m.w0), np.zeros(len(text), bool)
+    for i, j in slices(off):
+        h, bounds = words(data, off[i : j + 1])
+        some[i:j] = np.diff(bounds) > 0
+        col = m.slot[_buckets(h)]
+        at = np.flatnonzero(col >= 0)
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        pair = np.unique(doc * len(m.w) + col[at])
+        s[i:j] = m.scores(pair // len(m.w), pair % len(m.w), j - i)
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30))), some
+
+
+def score_toxicity(docs: DataFrame, machine: Machine, reject: float = REJECT) -> DataFrame:
+    """doc_id, probability and rejected of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            data, off = utf8(b.column(2))
-            s = np.full(b.num_rows, m.w0)
-            for i, j in slices(off):
-                h, bounds = words(data, off[i : j + 1])
-                col = m.slot[_buckets(h)]
-                at = np.flatnonzero(col >= 0)
-                doc = np.searchsorted(bounds, at, side="right") - 1
-                pair = np.unique(doc * len(m.w) + col[at])
-                s[i:j] = m.scores(pair // len(m.w), pair % len(m.w), j - i)
-            empty = np.diff(off) == 0
-            p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= reject) & ~empty)], names=["doc_id", "text_hash", "probability", "rejected"])
-
-    rows = docs.select("doc_id", (F.xxhash64("text") if keys else F.lit(0).cast("long")).alias("text_hash"), "text")
-    out = rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, probability double, rejected boolean")
-    return out if keys else out.drop("text_hash")
+            p, some = _scored(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= reject) & some)], names=["doc_id", "probability", "rejected"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, probability double, rejected boolean")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, reject: float = REJECT) -> DataFrame:
-    """The rows of `docs` that are not rejected; text decides, so repeated rows fare alike."""
-    gone = durable(score_toxicity(docs, machine, reject, keys=True).where("rejected").select("text_hash").distinct())
-    key, other = unused(docs, "text_hash", "gone_hash")
-    gone = gone.toDF(other)
-    gone = F.broadcast(gone) if small_enough(gone) else gone.hint("shuffle_hash")
-    return docs.withColumn(key, F.xxhash64("text")).join(gone, F.col(key) == F.col(other), "left_anti").drop(key)
+    """The rows of `docs` that are not rejected: a filter where the rows are read, nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("boolean")
+    def stays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            p, some = _scored(shared.value, text)
+            yield pa.array(~((p >= reject) & some))
+
+    return docs.where(stays(F.col("text")))
