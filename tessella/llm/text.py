@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 SLICE_BYTES = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -113,9 +115,35 @@ def shingles(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray,
     return acc, new
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For every code point from 0x80 on whether it is a letter, mark or digit."""
+    every = "".join(map(chr, range(0x80, 0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    out = np.zeros(0x110000, bool)
+    out[np.array([ord(c) for c in regex.findall(r"[\p{L}\p{M}\p{N}]", every)])] = True
+    return out
+
+
+def _no_letters(raw: np.ndarray) -> np.ndarray:
+    """Places of the bytes of signs beyond ASCII that are no letter, mark or digit."""
+    lead = np.flatnonzero(raw >= 0xC2)
+    if not len(lead):
+        return lead
+    b = raw[lead].astype(np.int64)
+    n = 2 + (b >= 0xE0) + (b >= 0xF0)
+    code = np.where(n == 2, b & 0x1F, np.where(n == 3, b & 0x0F, b & 0x07))
+    for k in (1, 2, 3):
+        more = n > k
+        code[more] = code[more] << 6 | raw[lead[more] + k] & 0x3F
+    other = ~_letters()[code]
+    lead, n = lead[other], n[other]
+    return np.repeat(lead, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def normal_bytes(raw: np.ndarray) -> np.ndarray:
-    """Lower-cased ASCII with every run of other signs made one space, none at the ends."""
+    """Lower-cased ASCII with every run of signs that are no letter, mark or digit (of any script) made one space, none at the ends."""
     low, ok = LOWER[raw], WORD[raw]
+    ok[_no_letters(raw)] = False
     keep = ok.copy()
     keep[1:] |= ok[:-1]
     out = np.where(ok, low, np.uint8(32))[keep]

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import regex
 
 from tessella.llm import decontaminate as D
 from tessella.llm import mixing, neardup, toxicity
@@ -23,7 +24,7 @@ def toxic(machine, text: str | None) -> tuple[float, bool]:
     cols = sorted({int(c) for c in machine.slot[toxicity._buckets(h)] if c >= 0})
     s = machine.w0 + sum(machine.w[c] for c in cols) + sum(machine.v[a] @ machine.v[b] for i, a in enumerate(cols) for b in cols[:i])
     p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    return p, bool(text) and p >= toxicity.REJECT
+    return p, len(h) > 0 and p >= toxicity.REJECT
 
 
 def common_lines(rows: list[dict], most: int) -> list[dict]:
@@ -67,10 +68,13 @@ def near_groups(rows: list[dict]) -> dict[int, int]:
 
 def leaks(rows: list[dict], items: list[dict]) -> set[tuple[int, int, int]]:
     """(doc_id, item_id, edits) by the automaton over every whole text."""
-    norm = lambda t: re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", t.lower()).strip(" ").encode()
+    norm = lambda t: regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", t.lower()).strip(" ").encode()
     out = set()
     for it in items:
         x = norm(it["text"])
+        if len(x) < 8:
+            out |= {(r["doc_id"], it["item_id"], 0) for r in rows if x and b" " + x + b" " in b" " + norm(r["text"]) + b" "}
+            continue
         peq, k = D.masks(x), D.budget(len(x))
         for r in rows:
             e = D.myers(peq, len(x), norm(r["text"]))

@@ -14,6 +14,7 @@ from tessella.llm import decontaminate as D
 from tessella.llm import secrets as S
 from tessella.llm import tokens as T
 from tessella.llm import warc as W
+from tessella.llm.text import normal_bytes
 
 from .conftest import words
 
@@ -218,9 +219,36 @@ def test_leaks_against_brute_force(spark, make_docs):
             if e <= D.budget(len(normal(x))):
                 want.add((d, i, e))
     assert 10 < len(want) < 60
+    df = make_docs(docs)
     for part in (D.PART_BYTES, 300):
-        got = {tuple(r) for r in D.find_leaks(make_docs(docs), bench, part_bytes=part).collect()}
-        assert got == want
+        assert {tuple(r) for r in D.find_leaks(df, bench, part_bytes=part).collect()} == want
+        assert {r["doc_id"] for r in D.drop_contaminated(df, bench, part_bytes=part).collect()} == {d for d, _ in docs} - {w[0] for w in want}
+    assert "Exchange" not in D.drop_contaminated(df, bench)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_fewer_than_eight_bytes(spark, make_docs):
+    rng = random.Random(5)
+    items = [(i, words(rng, 4, 20)) for i in range(6)]
+    docs = [(k, words(rng, 6, 20) + " " + rng.choice(items)[1].replace("w", rng.choice(["w", "v", ""])) + " x") for k in range(40)]
+    rate = 0.3
+    want = {(d, i, distance_within(normal(x), normal(t))) for d, t in docs for i, x in items}
+    want = {w for w in want if w[2] <= D.budget(len(normal(dict(items)[w[1]])), rate)}
+    got = D.find_leaks(make_docs(docs), spark.createDataFrame(items, "item_id bigint, text string"), rate)
+    assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
+
+
+def test_short_items_match_whole_words_and_punctuation_of_any_script_is_a_space(spark, make_docs):
+    bench = spark.createDataFrame([(1, "no"), (2, "A"), (3, "what — “is” it… über alles"), (4, "naïve")], "item_id bigint, text string")
+    docs = make_docs([(1, "banana nothing"), (2, "No!"), (3, "say no"), (4, "Give me a, please"), (5, "so WHAT is, it über «alles»?"), (6, "naïveté"), (7, "a naïve word")])
+    assert {tuple(r) for r in D.find_leaks(docs, bench).collect()} == {(2, 1, 0), (3, 1, 0), (4, 2, 0), (5, 3, 0), (7, 2, 0), (7, 4, 0)}
+
+
+def test_normal_bytes_is_the_pattern_over_all_code_points():
+    import regex
+
+    text = "".join(f"a{chr(c)}b " for c in [*range(0x80, 0xD800, 7), *range(0xE000, 0x110000, 997)])
+    want = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", text).strip(" ")
+    assert normal_bytes(np.frombuffer(text.encode(), np.uint8)).tobytes().decode() == want
 
 
 def test_leaks_on_awkward_rows(spark, awkward, empty, make_docs):
