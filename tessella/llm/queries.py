@@ -100,13 +100,17 @@ from documents
 """
 
 OP7 = r"""
-with texts as (select distinct text from documents where text is not null),
-parts as (select text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from texts),
+with parts as (
+    select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+    from documents where text is not null),
 lines as (select *, trim(regexp_replace(lower(line), '[ \t\r\f\v]+', ' ', 'g')) as norm from parts),
-common as (select norm from lines where norm <> '' group by norm having count(distinct text) > 10),
+common as (
+    select norm from lines where norm <> '' group by norm
+    having count(distinct doc_id) + count(distinct case when doc_id is null then text end) > 10),
+once as (select distinct text, line, norm, i from lines),
 cleaned as (
     select l.text, coalesce(string_agg(l.line, chr(10) order by l.i) filter (where c.norm is null), '') as new, count(c.norm) as n
-    from lines l left join common c on l.norm = c.norm group by l.text)
+    from once l left join common c on l.norm = c.norm group by l.text)
 select d.doc_id, case when c.n > 0 then c.new else d.text end as text, d.lang, d.source,
     case when c.n > 0 then length(c.new) else d.n_chars end::bigint as n_chars
 from documents d left join cleaned c on d.text = c.text

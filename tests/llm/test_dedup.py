@@ -53,13 +53,13 @@ def test_exact_on_awkward_rows(spark, awkward, empty):
     assert exact.exact_duplicates(empty).count() == 0
 
 
-def brute_lines(rows, most):
+def brute_lines(rows, most, copies_once=False):
     docs = defaultdict(set)
     norm = lambda x: " ".join(x.lower().split())
-    for _, t in rows:
+    for d, t in rows:
         for x in (t or "").split("\n"):
             if norm(x):
-                docs[norm(x)].add(t)
+                docs[norm(x)].add(t if copies_once or d is None else d)
     return [(d, t if t is None else "\n".join(x for x in t.split("\n") if len(docs.get(norm(x), ())) <= most)) for d, t in rows]
 
 
@@ -67,20 +67,32 @@ def test_lines_against_brute_force(spark, make_docs):
     rng = random.Random(4)
     pool = [words(rng, 5) for _ in range(30)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(pool) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(0, 12)))) for i in range(80)]
+    rows += rows[:20] + [(None, t) for _, t in rows[:3]] * 2 + [(200 + i, rows[5][1]) for i in range(9)]
     df = make_docs(rows)
-    for most in (3, 10):
-        out = lines.drop_common_lines(df, most)
+    for most, once, bits in ((3, False, 20), (10, False, 0), (3, True, 0), (10, True, 20)):
+        out = lines.drop_common_lines(df, most, once, bits)
         assert out.columns == df.columns
         got = out.collect()
-        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(brute_lines(rows, most))
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(brute_lines(rows, most, once), key=str)
         assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_hot_lines_and_hot_texts(spark, make_docs, monkeypatch):
+    """A line in every document, a text in a third of all rows; both take the way of hot keys."""
+    from tessella.operators import sieve
+
+    monkeypatch.setattr(sieve.join_split, "__defaults__", ("n", "inner", 40))
+    rows = [(i, f"Every document\nown {i}" if i % 3 else "every  document\nsame") for i in range(300)]
+    got = lines.drop_common_lines(make_docs(rows), 10, True).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, f"own {i}" if i % 3 else "same") for i, _ in rows)
+
+
 def test_lines_on_awkward_rows(spark, awkward, empty, make_docs):
     assert sorted(map(str, lines.drop_common_lines(awkward).select("doc_id", "text").collect())) == sorted(map(str, awkward.select("doc_id", "text").collect()))
     assert lines.drop_common_lines(empty).count() == 0
-    copies = [(i, "shared\nown") for i in range(30)]  # copies of a whole text are one document
-    assert {r["text"] for r in lines.drop_common_lines(make_docs(copies)).collect()} == {"shared\nown"}
+    copies = make_docs([(i, "shared\nown") for i in range(30)])
+    assert {r["text"] for r in lines.drop_common_lines(copies, copies_once=True).collect()} == {"shared\nown"}
+    assert {r["text"] for r in lines.drop_common_lines(copies).collect()} == {""}
     gone = [(i, f"Shared  line\nown {i}") for i in range(12)] + [(99, "shared line")]
     got = {r["doc_id"]: r["text"] for r in lines.drop_common_lines(make_docs(gone)).collect()}
     assert got[99] == "" and got[0] == "own 0"
