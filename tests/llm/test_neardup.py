@@ -83,7 +83,7 @@ def test_groups_are_components_of_all_candidate_pairs(spark):
             s[:cut] = other[:cut]
             sigs.append(s)
     nodes = spark.createDataFrame([(i + 1, s.tobytes()) for i, s in enumerate(sigs)], "node bigint, sig binary")
-    got = {r["node"]: r["root"] for r in N.groups(N.durable(nodes), 0.5).collect()}
+    ways = [{r["node"]: r["root"] for r in N.groups(N.durable(nodes), 0.5, block, bits).collect()} for block, bits in ((N.BLOCK, 20), (3, 0))]
     root = list(range(len(sigs)))
 
     def find(i):
@@ -98,7 +98,54 @@ def test_groups_are_components_of_all_candidate_pairs(spark):
                 root[find(i)] = find(j)
     want = {i + 1: find(i) for i in range(len(sigs))}
     same = lambda m, a, b: m.get(a, a) == m.get(b, b)
-    assert all(same(got, a, b) == (want[a] == want[b]) for a in want for b in want)
+    for got in ways:
+        assert all(same(got, a, b) == (want[a] == want[b]) for a in want for b in want)
+
+
+def test_forest_links_what_all_pairs_link():
+    rng = np.random.default_rng(3)
+    for k in range(30):
+        x = rng.integers(0, 3, (20, 8)).astype(np.uint16)
+        root, block = rng.integers(0, 12, 20), (rng.integers(0, 2, 20) if k % 2 else np.zeros(20, int))
+        pairs = [(i, j) for i in range(20) for j in range(i) if (x[i] == x[j]).mean() >= 0.5 and root[i] != root[j] and (len(set(block)) == 1 or block[i] != block[j])]
+
+        def parts(links):
+            up = {int(r): int(r) for r in root}
+            for _ in up:
+                for a, b in links:
+                    up[a] = up[b] = min(up[a], up[b])
+            return up
+
+        got = N._forest(root.tolist(), block.tolist(), x, 0.5)
+        assert parts(got) == parts([(int(root[i]), int(root[j])) for i, j in pairs])
+
+
+def test_hot_rows_and_a_full_filter(spark, make_docs, monkeypatch):
+    """A third of all rows one text, many of them one row; with and without room in the filter, hot keys split."""
+    from tessella.operators import sieve
+
+    rows = corpus(12, seed=9)
+    same = " ".join(f"s{i}" for i in range(50))
+    rows += [(1000, same)] * 30 + [(1001 + i, same) for i in range(40)]
+    df = make_docs(rows)
+    want = sorted((r["doc_id"], r["group_id"], r["keep"]) for r in N.near_duplicates(df).collect())
+    assert len(want) == len(rows) and sum(k for d, _, k in want if d == 1000) == 1 and {g for d, g, _ in want if d >= 1000} == {1000}
+    monkeypatch.setattr(sieve.join_split, "__defaults__", ("n", "inner", 20))
+    for bits in (0, 20):
+        assert sorted((r["doc_id"], r["group_id"], r["keep"]) for r in N.near_duplicates(df, 0.5, 4, bits).collect()) == want
+        assert sorted(r["doc_id"] for r in N.drop_near_duplicates(df, 0.5, 4, bits).collect()) == [d for d, _, k in want if k]
+
+
+def test_of_rows_that_differ_elsewhere_the_first_as_json_stays(spark):
+    df = spark.createDataFrame([(1, "a b c d", "z"), (1, "a b c d", "k"), (2, "other words here now", "m")], "doc_id bigint, text string, `a.b` string")
+    assert sorted(map(tuple, N.drop_near_duplicates(df).collect())) == [(1, "a b c d", "k"), (2, "other words here now", "m")]
+
+
+def test_signatures_of_one_number_stay_apart(spark, make_docs, monkeypatch):
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(6)]
+    real = N.F.xxhash64
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: N.F.lit(5).cast("long") if c == ("sig",) else real(*c))
+    assert sorted((r["doc_id"], r["group_id"]) for r in N.near_duplicates(make_docs(rows[:2])).collect()) == [(0, 0), (1, 1)]
 
 
 def test_awkward_rows(spark, awkward, empty):
