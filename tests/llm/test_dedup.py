@@ -22,12 +22,21 @@ def test_exact_against_brute_force_with_tiny_buckets(spark, make_docs):
     rng = random.Random(2)
     texts = [words(rng, rng.randrange(1, 50)) for _ in range(40)]
     rows = [(i, rng.choice(texts)) for i in range(300)]
-    for limit in (exact.BUCKET_BYTES, 100):
-        got = exact.exact_duplicates(make_docs(rows), limit).collect()
+    for limits in ((), (100, 200, 7, 0), (100, 10_000, 1000, 20)):
+        got = exact.exact_duplicates(make_docs(rows), *limits).collect()
         assert sorted(((r["doc_id"], r["group_id"]) for r in got), key=str) == brute_copies(rows)
         assert sum(r["keep"] for r in got) == len({t for _, t in rows})
 
 
+def test_unlike_contents_of_one_hash_stay_apart(spark, make_docs, monkeypatch):
+    """All texts under one hash, and a third of the rows one text in many blocks."""
+    rows = [(i, "same" if i % 3 == 0 else f"t{i % 20}") for i in range(120)]
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: exact.F.lit(7).cast("long"))
+    got = exact.exact_duplicates(make_docs(rows), 100, 50, 5).collect()
+    assert sorted(((r["doc_id"], r["group_id"]) for r in got), key=str) == brute_copies(rows)
+    assert sum(r["keep"] for r in got) == len({t for _, t in rows})
+
+
 def test_bucket_plan_splits_until_buckets_fit(spark):
     keys = spark.createDataFrame([(i * 0x123456789ABCDEF % (1 << 63), 10) for i in range(500)], "h bigint, n_bytes bigint")
     rows = exact.bucket_plan(keys, limit=100, bits=3).collect()
