@@ -5,15 +5,20 @@ time: the tokens of its source up to and with it, divided by the source's weight
 sorted by it over all sources, and the order is cut where the tokens reach the budget: at every
 cut the sources have contributed by their weights, as long as they last.
 
-Both running sums, of a source and of the whole, are taken in two levels: totals of ranges of
-the sort key are summed over ranges in a small table and brought back as offsets, and only within
-a range are rows summed one by one. No source and no final sort passes through one task.
+Both running sums, of a source and of the whole, are taken in two levels. The rows, which are
+light, are cut into ranges of equal numbers of rows by quantiles of the whole sort key, to which a
+number of its own is added for each row, so no source, no stretch of virtual time and no repeated row
+makes a range larger than others. What came before a range is one number for it (only the source
+in which it begins can have come before), at most `MOST_RANGES` in all; within it rows are summed
+one by one. Of the documents only those move that are taken, as far as a filter of bounded size
+can tell: to the sort-merge join with their times, and to the global range sort.
 
 Defined cases: a null source is a source of its own; a null doc_id is shuffled as the empty
 string; null or blank text has 0 tokens; rows equal in source and key are repeated rows, taken
-in the order of their text; sources without a weight get `DEFAULT_WEIGHT`, weights of 0 or less
-leave a source out; a document that would pass the budget ends the mixture; an empty table
-gives an empty result; other columns are ignored.
+in the order of doc_id and text hash, and where those are equal too any that are equal in all
+columns, else those that come first as JSON; sources without a weight get `DEFAULT_WEIGHT`, weights of
+0 or less leave a source out; a document that would pass the budget ends the mixture; an empty table
+gives an empty result; other columns are ignored, or pass unchanged in `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import column, durable, small_enough, unused
+from tessella.operators.ordering import numbered
+from tessella.operators.sieve import MOST_BITS, join_split, sift
+from tessella.session import column, durable, unused
 
 WEIGHTS, DEFAULT_WEIGHT = {"src0": 4.0, "src1": 2.0, "src2": 2.0}, 1.0
 #: Tokens to take, as a share of all; seed of the shuffle.
 BUDGET_SHARE, SEED = 0.5, "mix-1"
-#: Rows that a range should hold.
-RANGE_ROWS = 20_000
+#: Rows that a range should hold, and the number of ranges at most.
+RANGE_ROWS, MOST_RANGES = 20_000, 20_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -41,67 +48,80 @@ def shuffle_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def _running(df: DataFrame, by: list[str], bucket: str, order: list, what: str, name: str) -> DataFrame:
-    """`df` with the running sum of `what` in order, over ranges numbered by `bucket`, within `by`."""
-    totals = df.groupBy(*by, bucket).agg(F.sum(what).alias("__t"))
-    w = Window.partitionBy(*by).orderBy(bucket) if by else Window.orderBy(bucket)
-    before = totals.withColumn("__before", F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")).drop("__t")
-    before = durable(before)
-    own = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = df.withColumn("__own", F.sum(what).over(own))
-    b = before.withColumnsRenamed({c: f"__k_{c}" for c in [*by, bucket]})
-    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*by, bucket]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = inner.join(F.broadcast(b) if small_enough(before) else b, cond)
-    return joined.withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", *[f"__k_{c}" for c in [*by, bucket]])
+def _ranges(df: DataFrame, count: int, order: list[str]) -> DataFrame:
+    """`df` in ranges of the order, stored; `range` numbers them."""
+    n = min(MOST_RANGES, count // RANGE_ROWS) + 1
+    return durable(df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
 
 
-def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, budget_share: float = BUDGET_SHARE, seed: str = SEED, default_weight: float = DEFAULT_WEIGHT, keys: bool = False
-) -> DataFrame:
-    """doc_id, source, n_tokens, virtual_finish and running_tokens of the mixture, in order."""
+def _sum_within(cut: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """`cut` with the running sum of n_tokens in each range (and `by`)."""
+    own = Window.partitionBy("range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn(name, F.sum("n_tokens").over(own))
+
+
+def _mixture(docs: DataFrame, weights: dict[str, float] | None, budget_share: float, seed: str, default_weight: float) -> tuple[DataFrame, DataFrame]:
+    """The stored light rows of all documents, and those that are taken with virtual_finish and running_tokens."""
     weights = WEIGHTS if weights is None else weights
     weight = F.lit(float(default_weight))
     for s, v in sorted(weights.items()):
         weight = F.when(F.col("source") == s, F.lit(float(v))).otherwise(weight)
     rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), shuffle_key(seed).alias("key"), F.xxhash64("text").alias("text_hash"))
-    rows = durable(rows.withColumn("weight", weight).where(F.col("weight") > 0))
+    rows = durable(rows.withColumn("weight", weight).where(F.col("weight") > 0).withColumn("tie", F.monotonically_increasing_id()))
     count, total = rows.agg(F.count("*"), F.sum("n_tokens")).collect()[0]
     budget = int((total or 0) * budget_share)
-    digits = 1
-    while 16**digits * RANGE_ROWS < count and digits < 8:
-        digits += 1
-    rows = rows.withColumn("range", F.substring("key", 1, digits))
-    fair = _running(rows, ["source"], "range", ["key", "doc_id", "text_hash"], "n_tokens", "served")
-    fair = fair.withColumn("virtual_finish", F.col("served") / F.col("weight")).drop("range", "served")
-    last = rows.groupBy("source").agg((F.sum("n_tokens") / F.first("weight")).alias("end")).agg(F.max("end")).collect()[0][0] or 0.0
-    ranges = max(1, count // RANGE_ROWS)
-    at = F.floor(F.col("virtual_finish") * (ranges / last)).cast("long") if last else F.lit(0).cast("long")
-    order = ["virtual_finish", "source", "key", "doc_id", "text_hash"]
-    mixed = _running(fair.withColumn("range", at), [], "range", order, "n_tokens", "running_tokens")
-    mixed = mixed.where(F.col("running_tokens") <= budget).orderBy("virtual_finish", "source", "key", "doc_id", "text_hash")
-    return mixed.select("doc_id", "source", "n_tokens", "virtual_finish", "running_tokens", *(["text_hash"] if keys else []))
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    place = ["source", "key", "doc_id", "text_hash", "tie"]
+    cut = _ranges(rows, count, place)
+    sums = cut.groupBy("range", "source").agg(F.sum("n_tokens").alias("t"))
+    w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    begun = sums.select("range", "source", (F.sum("t").over(w) - F.col("t")).alias("before"))
+    begun = durable(begun.groupBy("range").agg(F.min(F.struct("source", "before")).alias("head")))
+    fair = _sum_within(cut, ["source"], place, "own").join(F.broadcast(begun), "range")
+    served = F.col("own") + F.when(F.col("source").eqNullSafe(F.col("head.source")), F.col("head.before")).otherwise(0)
+    fair = fair.withColumn("virtual_finish", served / F.col("weight")).drop("range", "own", "head", "weight")
+    order = ["virtual_finish", *place]
+    cut = _ranges(fair, count, order)
+    w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    before = cut.groupBy("range").agg(F.sum("n_tokens").alias("t"))  # one row a range
+    before = durable(before.select("range", (F.sum("t").over(w) - F.col("t")).alias("before")))
+    taken = _sum_within(cut.join(F.broadcast(before.where(F.col("before") <= budget)), "range"), [], order, "own")
+    taken = taken.withColumn("running_tokens", F.col("own") + F.col("before")).where(F.col("running_tokens") <= budget)
+    return rows, taken.drop("range", "own", "before")
+
+
+def mix_sources(
+    docs: DataFrame, weights: dict[str, float] | None = None, budget_share: float = BUDGET_SHARE, seed: str = SEED, default_weight: float = DEFAULT_WEIGHT
+) -> DataFrame:
+    """doc_id, source, n_tokens, virtual_finish and running_tokens of the mixture, in order."""
+    _, taken = _mixture(docs, weights, budget_share, seed, default_weight)
+    return taken.orderBy("virtual_finish", "source", "key", "doc_id", "text_hash", "running_tokens").select("doc_id", "source", "n_tokens", "virtual_finish", "running_tokens")
+
+
+def mixed_documents(
+    docs: DataFrame, weights: dict[str, float] | None = None, budget_share: float = BUDGET_SHARE, seed: str = SEED, default_weight: float = DEFAULT_WEIGHT, most_bits: int = MOST_BITS
+) -> DataFrame:
     """The rows of `docs` that the mixture takes, with virtual_finish and running_tokens, in its order.
 
     Columns of `docs` that have these names already are replaced. Of repeated rows as many are
     returned as the mixture takes; all carry the values of the first."""
-    taken = mix_sources(docs, keys=True, **options).groupBy("doc_id", "text_hash", "source")
-    taken = durable(taken.agg(F.min("virtual_finish").alias("virtual_finish"), F.min("running_tokens").alias("running_tokens"), F.count("*").alias("n"), F.max("running_tokens").alias("last")))
+    rows, mixed = _mixture(docs, weights, budget_share, seed, default_weight)
+    same = ["doc_id", "text_hash", "source"]
+    taken = mixed.groupBy(*same).agg(F.min("virtual_finish").alias("virtual_finish"), F.min("running_tokens").alias("running_tokens"), F.count("*").alias("n"), F.max("running_tokens").alias("last"))
+    taken = durable(taken.withColumn("h", F.xxhash64(*same)))
     own = docs.select(*[column(c) for c in docs.columns if c.lower() not in ("virtual_finish", "running_tokens")])
-    a, b, c, n = unused(own, "other_id", "other_hash", "other_source", "n_taken")
-    t = taken.drop("last").toDF(a, b, c, "virtual_finish", "running_tokens", n)
-    t = F.broadcast(t) if small_enough(taken) else t.hint("shuffle_hash")
-    on = F.col("doc_id").eqNullSafe(F.col(a)) & F.xxhash64("text").eqNullSafe(F.col(b)) & F.col("source").eqNullSafe(F.col(c))
+    columns = [column(c) for c in own.columns]
+    key, hash_, a, b, c, n = unused(own, "key", "text_hash", "other_id", "other_hash", "other_source", "n_taken")
+    own = own.withColumn(hash_, F.xxhash64("text")).withColumn(key, F.xxhash64("doc_id", hash_, "source"))
     # Repeated rows follow each other, so only those at the cut can be taken in part.
     cut = taken.orderBy(F.desc("last"), F.desc("virtual_finish")).first()
     if cut is not None:
-        at_cut = F.col("doc_id").eqNullSafe(F.lit(cut["doc_id"])) & F.xxhash64("text").eqNullSafe(F.lit(cut["text_hash"])) & F.col("source").eqNullSafe(F.lit(cut["source"]))
-        if docs.where(at_cut).count() > cut["n"]:
-            own = own.where(~at_cut).unionByName(own.where(at_cut).limit(cut["n"]))
-    out = own.join(t, on).select(*[column(x) for x in own.columns], "virtual_finish", "running_tokens")
-    return out.orderBy("virtual_finish", "running_tokens", "source", shuffle_key(options.get("seed", SEED)), "doc_id")
+        here = lambda name: F.col("doc_id").eqNullSafe(F.lit(cut["doc_id"])) & (F.col(name) == cut["text_hash"]) & F.col("source").eqNullSafe(F.lit(cut["source"]))
+        if rows.where(here("text_hash")).count() > cut["n"]:
+            place = unused(own, "place")[0]
+            some = numbered(own.where(here(hash_)), [F.to_json(F.struct(*columns))], place).where(F.col(place) <= cut["n"]).drop(place)
+            own = own.where(~here(hash_)).unionByName(some)
+    _, perhaps = sift(own, key, taken.select("h"), most_bits)
+    side = taken.select("h", *same, "n", "virtual_finish", "running_tokens").toDF(key, a, b, c, n, "virtual_finish", "running_tokens")
+    on = F.col("doc_id").eqNullSafe(F.col(a)) & (F.col(hash_) == F.col(b)) & F.col("source").eqNullSafe(F.col(c))
+    out = join_split(perhaps, side, key, n).where(on)
+    return out.select(*columns, "virtual_finish", "running_tokens").orderBy("virtual_finish", "running_tokens", "source", shuffle_key(seed), "doc_id")

@@ -214,8 +214,22 @@ def test_mixture_against_brute_force(spark, make_docs, monkeypatch):
         monkeypatch.setattr(M, "RANGE_ROWS", size)
         got = [(r["doc_id"], r["virtual_finish"], r["running_tokens"]) for r in M.mix_sources(make_docs(rows), weights, 0.6, "s").collect()]
         assert got == want
-    out = M.mixed_documents(make_docs(rows), weights=weights, budget_share=0.6, seed="s").collect()
-    assert [r["doc_id"] for r in out] == [x[0] for x in want] and out[0]["key"] == "x"
+    for bits in (20, 0):
+        out = M.mixed_documents(make_docs(rows), weights=weights, budget_share=0.6, seed="s", most_bits=bits).collect()
+        assert [r["doc_id"] for r in out] == [x[0] for x in want] and out[0]["key"] == "x"
+
+
+def test_ranges_are_even_however_the_keys_are_spread(spark, make_docs, monkeypatch):
+    """Nine sources end early, one runs on, and a third of all rows is one row repeated."""
+    monkeypatch.setattr(M, "RANGE_ROWS", 100)
+    rows = [(i, "w " * 3, f"s{i % 9}") for i in range(900)] + [(10_000 + i, "w " * 500, "long") for i in range(100)] + [(5000, "x", "s7")] * 500
+    df, seen = make_docs(rows), []
+    real = M._ranges
+    monkeypatch.setattr(M, "_ranges", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = [(r["virtual_finish"], r["running_tokens"]) for r in M.mix_sources(df, {}, 1.0, "s").collect()]
+    assert got == [x[1:] for x in brute_mix(rows, {}, 1.0)]
+    for cut in seen:
+        assert max(r["count"] for r in cut.groupBy("range").count().collect()) < 300
 
 
 def test_shares_follow_the_weights_until_a_source_ends(spark, make_docs):
@@ -239,3 +253,5 @@ def test_repeated_rows_at_the_cut_are_taken_in_part(spark, make_docs):
     df = make_docs([(1, "a b", "s")] * 5)
     assert M.mix_sources(df, {}, 0.5, "s").count() == 2
     assert M.mixed_documents(df, weights={}, budget_share=0.5, seed="s").count() == 2
+    other = spark.createDataFrame([(1, "a b", "s", x) for x in "edcba"], "doc_id bigint, text string, source string, other string")
+    assert {r["other"] for r in M.mixed_documents(other, weights={}, budget_share=0.5, seed="s").collect()} == {"a", "b"}
