@@ -76,8 +76,9 @@ _RECORD = r"""'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(1
 
 OP2 = f"""
 with b0 as (
-    select page_id, url, case when md5(page_id::varchar) < '01' then html || chr(0) else html end as html
-    from pages where not coalesce(md5(page_id::varchar) between 'ff' and 'ffz', false)),
+    select page_id, url, case when md5(page_id::varchar) < '10' then html || chr(0) else html end as html
+    from pages where not coalesce(md5(page_id::varchar) between 'f0' and 'f7z', false)
+    union all select page_id, url, html from pages where md5(page_id::varchar) >= 'f8'),
 a as (select page_id, strlen({_RECORD}) as length, sha256({_RECORD}) as digest from pages),
 b as (select page_id, strlen({_RECORD}) as length, sha256({_RECORD}) as digest from b0),
 am as (select *, page_id // 64 as leaf, page_id // 4096 as file,

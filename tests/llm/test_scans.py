@@ -127,7 +127,7 @@ def test_audit_finds_each_fault_and_descends_only_there(spark, pages):
     other = other.unionByName(spark.createDataFrame([(20_000, "new", "page")], pages.schema))
     got = {(r["page_id"], r["status"]) for r in W.audit(pages, other).collect()}
     assert got == {(777, "missing"), (5000, "corrupt"), (20_000, "extra")}
-    a, b = ([x, *W.tree_above(x)] for x in (W.leaves_of(W.manifest(t)) for t in (pages, other)))
+    a, b = W.trees(*(W.leaves_of(W.manifest(t)) for t in (pages, other)))
     assert {r["node"] for r in W.differing_leaves(a, b).collect()} == {777 // 64, 5000 // 64, 20_000 // 64}
     assert a[-1].count() == 1 and a[-1].collect() != b[-1].collect()
     assert W.audit(pages, pages).count() == 0
@@ -141,6 +141,49 @@ def test_offsets_are_those_of_the_file(spark, pages):
         at[f] = o + n
 
 
+def test_leaves_and_nodes_are_hashes_of_ordered_offsets(spark, pages):
+    """Against a tree made by hand: 9000 pages are 141 leaves, 3 nodes, one root."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    def record(i, url, html):
+        n = len(html)
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n{html}\r\n\r\n"
+
+    level = {}
+    for leaf in range(141):
+        at, lines = 0, []
+        for i in range(leaf * 64, min(9000, leaf * 64 + 64)):
+            r = record(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 9))
+            lines.append(f"{at}:{len(r)}:1:{sha(r)}")
+            at += len(r)
+        level[leaf] = (at, sha(f"0:{at}:{sha(','.join(lines))}"))
+    tree, _ = W.trees(*[W.leaves_of(W.manifest(pages))] * 2)
+    assert {r["node"]: (r["length"], r["digest"]) for r in tree[0].collect()} == level
+    for got in tree[1:]:
+        up = {}
+        for n in sorted(level):
+            up.setdefault(n // 64 if len(level) > 64 else 0, []).append((n, *level[n]))
+        level = {k: (sum(x[1] for x in v), sha(",".join(":".join(map(str, x)) for x in v))) for k, v in up.items()}
+        assert {r["node"]: (r["length"], r["digest"]) for r in got.collect()} == level
+    assert len(tree) == 3 and len(level) == 1
+
+
+def test_audit_of_sparse_ids_hot_ids_and_ids_that_are_no_integers(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 50)
+    rng = random.Random(4)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), "u", str(i)) for i in range(300)] + [(5, "u", f"hot {i}") for i in range(150)] + [(6, "u", "same")] * 15_000
+    make = lambda r, kind="bigint": spark.createDataFrame(r, f"page_id {kind}, url string, html string").repartition(4)
+    a = make(rows)
+    levels, _ = W.trees(*[W.durable(W.leaves_of(W.manifest(a)))] * 2)
+    assert levels[-1].count() == 1
+    got = W.audit(a, make(rows[1:-1] + [(rows[3][0], "u", "twice")])).groupBy("page_id", "status").count().collect()
+    assert {tuple(r) for r in got if r["page_id"] != rows[3][0]} == {(rows[0][0], "missing", 1), (6, "missing", 1)} and len(got) in (3, 4)
+    words_ = [(str(i), "u", "x") for i in range(40)] + [("a b", "u", "y"), (None, "u", "z")]
+    got = W.audit(make(words_, "string"), make(words_[:-2] + [("a b", "u", "n")], "string")).collect()
+    assert {(r["page_id"], r["status"]) for r in got} == {("a b", "corrupt"), (None, "missing")}
+
+
 def test_audit_on_awkward_rows(spark):
     schema = "page_id bigint, url string, html string, digest string, leaf string"
     rows = [(None, None, None, "x", "x"), (None, "u", "", "x", "x"), (1, None, "a", "x", "x"), (1, None, "a", "x", "x"), (1, "u", "z" * 3_000_000, "x", "x"), (2, "", None, "x", "x")]
