@@ -208,9 +208,20 @@ def test_token_counts_are_those_of_whole_texts(spark, make_docs, awkward, empty)
 
 def test_token_cache_starts_anew_when_full():
     enc = tiktoken.Encoding("t", pat_str=T.PATTERN, mergeable_ranks=T.load_ranks(), special_tokens={})
-    c = T._Cache({"a": 1}, enc)
-    c.room = 2
-    assert [c["zzqzz"], c["qqzqq"], c["xzxzx"], c["a"]] == [len(enc.encode_ordinary(x)) for x in ("zzqzz", "qqzqq", "xzxzx", "a")]
+    c = T._Cache({"a": 1}, enc, 220)
+    pieces = ("zzqzz", "qqzqq", "xzxzx", "a", "x" * 500)
+    assert [c[x] for x in pieces] == [len(enc.encode_ordinary(x)) for x in pieces]
+    assert set(c) == {"a", "xzxzx"}
+
+
+def test_tier_one_is_measured_and_never_changes_a_count(spark, make_docs, awkward):
+    rng = random.Random(6)
+    docs = make_docs([(i, "zzqzzqx " * 5 + words(rng, 30)) for i in range(50)] + [(None, None), (60, "rare")])
+    top = T.frequent_pretokens(docs, most=3)
+    assert set(top) == {" w", "x", " zzqzzqx"}
+    assert T.frequent_pretokens(awkward.where("doc_id is null")) == []
+    counts = [sorted(map(str, T.count_tokens(docs, sample=s, most=m).collect())) for s, m in ((0, 10), (5, 1), (1000, 20_000))]
+    assert counts[0] == counts[1] == counts[2]
 
 
 def distance_within(item: str, text: str) -> int:
