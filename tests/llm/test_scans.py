@@ -95,6 +95,18 @@ def test_secrets_of_one_case(spark, sf, make_docs):
     assert len(got) == len({x[0] for x in got})
 
 
+def test_tests_of_the_battery_keep_their_level():
+    """Strings drawn evenly get small p-values as seldom as they should, down to the shortest."""
+    rng = np.random.default_rng(2)
+    for enc in ("hex", "base32", "base62"):
+        signs = np.array(list(S.ALPHABETS[enc]))
+        model = S.text_model(np.ones(len(signs)))
+        for n in (16, 24, 64):
+            p = np.array([S.battery("".join(t), enc, model)[:3] for t in rng.choice(signs, (4000, n))])
+            assert ((p <= 0.05).mean(axis=0) < 0.075).all() and ((p <= S.BATTERY_LEVEL / 3).mean(axis=0) < 0.004).all()
+            assert (np.median(p, axis=0) > 0.3).all()
+
+
 def test_battery_sees_structure():
     even = S.text_model(np.ones(16))
     rng = random.Random(1)
