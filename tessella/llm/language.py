@@ -136,12 +136,14 @@ def _blend(seen: tuple[np.ndarray, np.ndarray], shorter: np.ndarray) -> np.ndarr
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model | None:
-    """The model of the labelled rows that come first by a hash of their id, `per_language` of each."""
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    """The model of the labelled rows that come first by a hash of their id, at most `per_language` of each, however often an id is repeated."""
+    ids = Window.partitionBy("lang").orderBy("h", "doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    picked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
-    picked = picked.select("lang", "doc_id").distinct()
-    rows = labelled.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").collect()
+    picked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(ids)).where(F.col("n") <= per_language)
+    picked = picked.select("lang", "doc_id", "h").distinct()
+    found = labelled.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])
+    rows = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    rows = found.withColumn("n", F.row_number().over(rows)).where(F.col("n") <= per_language).select("lang", "doc_id", "text").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"].encode())

@@ -13,7 +13,7 @@ from tessella.llm import language, lines, queries, tokens, toxicity
 from tests.comparing import assert_same, connect
 
 from . import brute
-from .test_models import ppm_bits
+from .test_models import ppm_bits, ppm_counts
 from .test_scans import brute_secrets
 
 Q = queries.queries()
@@ -64,9 +64,14 @@ def test_language(spark, sf, docs):
     rows = {r["doc_id"]: r for r in Q["op6_language_id"](spark, sf).collect()}
     assert len(rows) == len(docs)
     train = {x: [d["text"].encode() for d in docs if d["lang"] == x] for x in model.languages}
-    for d in sorted(docs, key=lambda d: d["n_chars"])[:12]:
-        bits = {x: ppm_bits(train[x], d["text"].encode(), language.ORDER, set()) for x in model.languages}
-        assert abs(rows[d["doc_id"]]["code_bits"] - min(bits.values())) < 0.01 * len(d["text"]) + 0.01
+    train = {x: ppm_counts(t, language.ORDER) for x, t in train.items()}
+    for d in docs:
+        t = d["text"].encode()
+        bits = sorted((ppm_bits(c, t, language.ORDER), x) for x, c in train.items())
+        r, slack = rows[d["doc_id"]], 0.5 / language.UNIT * len(t) + 1e-6
+        assert abs(r["code_bits"] - bits[0][0]) <= slack and abs(r["lead_bits"] - (bits[1][0] - bits[0][0])) <= 2 * slack
+        if bits[1][0] - bits[0][0] > 2 * slack:
+            assert r["language"] == bits[0][1]
     assert sum(rows[d["doc_id"]]["language"] == d["lang"] for d in docs) >= 0.97 * len(docs)
 
 
