@@ -76,28 +76,41 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.int32()))], names=["h", "t", "toxic", "terms"])
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, factors: int, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """[w0, w, v] by Adam over all rows at once, and the scores of the rows."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    rng = np.random.default_rng(7)
-    theta = [np.array([np.log(n1 / n0)]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], factors))]
+def _sums(values: np.ndarray, at: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums of the rows `at` of values between the offsets."""
+    out = np.zeros((len(off) - 1, values.shape[1]), np.float32)
+    some = np.flatnonzero(off[1:] > off[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values[at], off[some], axis=0)
+    return out
+
+
+def _fitted(doc: np.ndarray, col: np.ndarray, n_cols: int, y: np.ndarray, factors: int, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """[w0, w, v] by Adam over all texts at once, and their scores; (doc, col) are the terms present, sorted by doc."""
+    n, n_cols = len(y), max(1, n_cols)
+    docs = np.searchsorted(doc, np.arange(n + 1))
+    order = np.argsort(col, kind="stable")
+    cols, by_col = np.searchsorted(col[order], np.arange(n_cols + 1)), doc[order]
+    rng, y = np.random.default_rng(7), y.astype(np.float32)
+    theta = [np.array([np.log(y.sum() / (1 - y).sum())], np.float32), np.zeros((n_cols, 1), np.float32), rng.normal(0, 0.05, (n_cols, factors)).astype(np.float32)]
     m1, m2 = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
 
     def score() -> tuple[np.ndarray, np.ndarray]:
         w0, w, v = theta
-        xv = x @ v
-        return xv, w0 + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1))
+        x = _sums(np.concatenate([v, w, (v * v).sum(axis=1, keepdims=True)], axis=1), col, docs)
+        xv = x[:, :factors]
+        return xv, w0 + x[:, factors] + 0.5 * ((xv**2).sum(axis=1) - x[:, factors + 1])
 
     for t in range(1, steps + 1):
         xv, s = score()
-        g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + 1e-5 * theta[1], x.T @ (g[:, None] * xv) - xg[:, None] * theta[2] + 1e-4 * theta[2]]
+        g = ((1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / n)[:, None]
+        x = _sums(np.concatenate([g, g * xv], axis=1), by_col, cols)
+        grads = [g.sum(axis=0), x[:, :1] + 1e-5 * theta[1], x[:, 1:] - x[:, :1] * theta[2] + 1e-4 * theta[2]]
         for k in range(3):
             m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
             m2[k] = 0.999 * m2[k] + 0.001 * grads[k] ** 2
             theta[k] = theta[k] - 0.05 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-9)
-    return theta, score()[1]
+    return [theta[0].astype(float), theta[1][:, 0].astype(float), theta[2].astype(float)], score()[1].astype(float)
 
 
 class _Sample:
@@ -108,27 +121,37 @@ class _Sample:
         self.doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
         self.term = np.concatenate(terms).astype(np.int64)
 
-    def dense(self, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot of every bucket, texts x terms) for these terms."""
+    def of(self, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot of every bucket, texts, columns) of these terms."""
         slot = np.full(1 << BITS, -1, np.int32)
         slot[cols] = np.arange(len(cols))
-        x = np.zeros((self.n, max(1, len(cols))), np.float32)
         at = slot[self.term]
-        x[self.doc[at >= 0], at[at >= 0]] = 1
-        return slot, x
+        return slot, self.doc[at >= 0], at[at >= 0]
+
+    def dense(self, cols: np.ndarray) -> np.ndarray:
+        """Texts x terms."""
+        _, doc, col = self.of(cols)
+        x = np.zeros((self.n, max(1, len(cols))), np.float32)
+        x[doc, col] = 1
+        return x
 
     def telling_pairs(self, cols: np.ndarray, y: np.ndarray, p: np.ndarray, screen: float, block: int = 512) -> np.ndarray:
-        """Terms of pairs whose texts deviate from the chances p, block by block over all pairs."""
+        """Terms of pairs whose texts deviate from the chances p, block by block over all pairs that can."""
         left, spread = (y - p).astype(np.float32), np.maximum(p * (1 - p), 1e-3).astype(np.float32)
+        least = 0.05 * PAIR_LEAST  # below this variance texts are too few for z to be normal
+        # The texts of a pair are among those of either term, so their sums bound those of all its pairs.
+        _, doc, col = self.of(cols)
+        mass = [np.bincount(col, x[doc], len(cols)) for x in (spread, np.maximum(left, 0), np.maximum(-left, 0))]
+        cols = cols[(mass[0] >= least) & (np.maximum(mass[1], mass[2]) > screen * least**0.5)]
         parts, found = [cols[i : i + block] for i in range(0, len(cols), block)], [np.zeros(0, np.int64)]
         for i, a in enumerate(parts):
-            xa = self.dense(a)[1]
+            xa = self.dense(a)
             moved, noise = (xa * left[:, None]).T, (xa * spread[:, None]).T
             for j in range(i, len(parts)):
-                xb = xa if i == j else self.dense(parts[j])[1]
+                xb = xa if i == j else self.dense(parts[j])
                 var = noise @ xb
                 z = np.abs(moved @ xb) / np.sqrt(np.maximum(var, 1e-9))
-                z[var < 0.05 * PAIR_LEAST] = 0  # too few texts for z to be normal
+                z[var < least] = 0
                 if i == j:
                     np.fill_diagonal(z, 0)
                 r, c = np.nonzero(z > screen)
@@ -147,12 +170,13 @@ def train(terms: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, screen
     p = (toxic + clean) / (n1 + n0)
     z = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     single = np.flatnonzero((np.abs(z) > screen) & (toxic + clean >= 5))
-    slot, x = sample.dense(single)
-    theta, s = _fitted(x, y, factors, steps)
+    slot, doc, col = sample.of(single)
+    theta, s = _fitted(doc, col, len(single), y, factors, steps)
     pairs = sample.telling_pairs(np.flatnonzero(toxic + clean >= PAIR_LEAST), y, 1 / (1 + np.exp(-np.clip(s, -30, 30))), pair_screen)
-    if len(np.setdiff1d(pairs, single)):
-        slot, x = sample.dense(np.union1d(single, pairs))
-        theta, _ = _fitted(x, y, factors, steps)
+    both = np.union1d(single, pairs)
+    if len(both) > len(single):
+        slot, doc, col = sample.of(both)
+        theta, _ = _fitted(doc, col, len(both), y, factors, steps)
     return Machine(slot, float(theta[0][0]), theta[1], theta[2])
 
 
