@@ -1,15 +1,19 @@
 """Words: splitting identifiers, stems, folding, synonyms, and tiered matching of a text with query terms.
 
-All columns here are built-in expressions, so they run in the JVM on one row without a shuffle.
+The word functions are built-in expressions. Matching whole texts goes through Arrow batches: forms
+are made once for each distinct token that a worker meets. Nothing here shuffles.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,21 +49,31 @@ def stem(t: Column) -> Column:
 
 
 @cache
-def _fold_table() -> tuple[str, str]:
-    """Letters with marks, and the one letter under the marks."""
-    a, b = [], []
-    for code in range(0xC0, 0x2000):
+def fold_map() -> dict[int, str]:
+    """Every sign that changes: to the letters under its marks, in compatibility form; a mark to nothing. Hangul syllables stay."""
+    out = {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)]:
         ch = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-        if base != ch and len(base) == 1:
-            a.append(ch)
-            b.append(base)
-    return "".join(a), "".join(b)
+        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if unicodedata.category(x) != "Mn")
+        if base != ch:
+            out[code] = base
+    return out
+
+
+def fold_py(s: str) -> str:
+    """A text without diacritics, ligatures and other compatibility signs."""
+    return s if s.isascii() else s.translate(fold_map())
 
 
 def fold(c: Column) -> Column:
-    """Text without diacritics. Letters that fold to several (as in fi-ligatures) stay as they are."""
-    return F.regexp_replace(F.translate(c, *_fold_table()), "\\p{Mn}+", "")
+    """`fold_py` for columns: texts and queries are folded by the same code."""
+
+    @F.arrow_udf("string")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in texts:
+            yield pa.array([None if t is None else fold_py(t) for t in b.to_pylist()], pa.string())
+
+    return run(c)
 
 
 def raw_tokens(c: Column) -> Column:
@@ -73,11 +87,6 @@ def token_forms(token: Column) -> Column:
     return F.array_union(parts, F.transform(parts, stem))
 
 
-def haystack(text: Column) -> Column:
-    """array<array<string>>: the forms of every token of a folded text."""
-    return F.transform(raw_tokens(fold(text)), token_forms)
-
-
 # Python twins
 
 
@@ -98,9 +107,10 @@ def stem_py(t: str) -> str:
     return r if len(r) >= 3 else t
 
 
-def fold_py(s: str) -> str:
-    """Without combining marks after compatibility decomposition."""
-    return "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+def token_forms_py(t: str) -> set[str]:
+    """As `token_forms`, for one token."""
+    parts = {t.lower(), *split_identifier_py(t)}
+    return parts | {stem_py(x) for x in parts}
 
 
 def keywords(s: str) -> list[str]:
@@ -158,24 +168,78 @@ def query_terms(query: str) -> list[Term]:
 # Matching
 
 
-def _strings(words: list[str] | tuple[str, ...]) -> Column:
-    return F.array(*map(F.lit, words))
-
-
-def _tokens_with(hay: Column, words: list[str] | tuple[str, ...]) -> Column:
-    return F.size(F.filter(hay, lambda forms: F.arrays_overlap(forms, _strings(words))))
-
-
-def match(hay: Column, raw_lower: Column, term: Term) -> Column:
-    """struct(weight, count): exact 3, form 2, synonym 1.5, part of a word 1, none 0; and how often."""
-    exact = _tokens_with(hay, [term.exact])
-    forms = F.greatest(F.lit(0), F.lit(0), *[_tokens_with(hay, [f]) for f in term.forms])
-    groups = F.greatest(F.lit(0), F.lit(0), *[_tokens_with(hay, g) for g in term.synonyms])
-    pick = lambda w, n: F.struct(F.lit(w).alias("weight"), n.cast("long").alias("count"))
-    return (
-        F.when(exact > 0, pick(3.0, exact)).when(forms > 0, pick(2.0, forms)).when(groups > 0, pick(1.5, groups))
-        .when(raw_lower.contains(term.exact), pick(1.0, F.lit(1))).otherwise(pick(0.0, F.lit(0)))
-    )
+#: Result of matching: for every term how strongly and how often it is found, and the tokens of the text.
+MATCHES = "struct<hits:array<struct<weight:double,count:bigint>>,n_tokens:int>"
+#: Distinct tokens whose forms a worker remembers, after which it starts anew.
+TOKEN_CACHE = 500_000
+
+
+class Matcher:
+    """Exact 3, form 2, synonym 1.5, part of a word 1, none 0; and by how many tokens."""
+
+    def __init__(self, terms: list[Term]):
+        self.terms, self.known = terms, {}
+        #: Every way to find a term: (place of the term, weight, words).
+        self.ways = [(i, w, frozenset(x)) for i, t in enumerate(terms) for w, own in ((3.0, [[t.exact]]), (2.0, [[f] for f in t.forms]), (1.5, t.synonyms)) for x in own]
+        self.cut = re.compile("[A-Za-z0-9_]+").findall
+        # A form is a part of its token but for its last sign (stories, story): what holds none of these finds nothing.
+        self.may = re.compile("|".join(sorted({re.escape(w[:-1] or w) for _, _, x in self.ways for w in x})) or "(?!)").search
+
+    def found(self, token: str) -> tuple[int, ...]:
+        """The ways in which a token finds terms."""
+        if len(self.known) >= TOKEN_CACHE:
+            self.known.clear()
+        if not self.may(token.lower()):
+            self.known[token] = ()
+            return ()
+        forms = token_forms_py(token)
+        out = self.known[token] = tuple(n for n, (_, _, words) in enumerate(self.ways) if not words.isdisjoint(forms))
+        return out
+
+    def match(self, text: str) -> tuple[list[float], list[int], int]:
+        """(weight and count of every term, number of tokens)."""
+        folded = fold_py(text)
+        tokens, counts = Counter(self.cut(folded)), [0] * len(self.ways)
+        for t, n in tokens.items():
+            for way in self.known[t] if t in self.known else self.found(t):
+                counts[way] += n
+        weight, count, low = [0.0] * len(self.terms), [0] * len(self.terms), None
+        for (i, w, _), n in zip(self.ways, counts):
+            if n and (w > weight[i] or w == weight[i] and n > count[i]):
+                weight[i], count[i] = w, n
+        for i, t in enumerate(self.terms):
+            if not count[i]:
+                low = folded.lower() if low is None else low
+                if t.exact in low:
+                    weight[i], count[i] = 1.0, 1
+        return weight, count, tokens.total()
+
+
+@lru_cache(maxsize=8)
+def matcher(terms: tuple[Term, ...]) -> Matcher:
+    """One for each query that this worker has met, so that its tasks share what is known of tokens."""
+    return Matcher(list(terms))
+
+
+def match(text: Column, terms: list[Term]) -> Column:
+    """`MATCHES` of a text with the terms; a null text matches nothing and has no number of tokens."""
+
+    @F.arrow_udf(MATCHES)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m, k = matcher(tuple(terms)), len(terms)
+        for b in batches:
+            weights, counts, sizes = [], [], []
+            for v in b:
+                t = v.as_py()
+                w, c, n = ([0.0] * k, [0] * k, None) if t is None else m.match(t)
+                weights += w
+                counts += c
+                sizes.append(n)
+            one = pa.StructArray.from_arrays([pa.array(weights, pa.float64()), pa.array(counts, pa.int64())], names=["weight", "count"])
+            hits = pa.ListArray.from_arrays(pa.array(range(0, k * len(b) + 1, k) if k else [0] * (len(b) + 1), pa.int32()), one)
+            yield pa.StructArray.from_arrays([hits, pa.array(sizes, pa.int32())], names=["hits", "n_tokens"])
+
+    return run(text)
 
 
 def saturated(weight: Column, count: Column) -> Column:

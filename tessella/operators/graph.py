@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import constants as C
-from tessella.operators.ordering import share_below
-from tessella.session import BROADCAST_ROWS, durable, small_enough
+from tessella.operators.ordering import numbered, share_below
+from tessella.session import durable
 
 
 def lift(edges: DataFrame, home: DataFrame) -> DataFrame:
@@ -100,14 +100,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = C.PAGERANK_ROUNDS
     return ranks.select("node", "rank")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, betweenness) of the directed graph: each task walks from some of the sources.
+def betweenness(nodes: DataFrame, edges: DataFrame, task_links: int = C.TASK_LINKS) -> DataFrame:
+    """(node, betweenness) of the directed graph.
 
-    The module graph goes to every task; it must be of a checked size.
+    A graph of at most `task_links` links goes to every task, which walks from some of the sources; a
+    larger one is walked from all sources at once by joins, level by level. Both are exact.
     """
-    links = edges.select("src", "dst").distinct()
-    if not small_enough(links, BROADCAST_ROWS):
-        raise ValueError(f"more than {BROADCAST_ROWS} links: lift the graph to modules first")
+    links = durable(edges.select("src", "dst").where("src <> dst").distinct())
+    if links.limit(task_links + 1).count() > task_links:
+        return _betweenness_by_levels(nodes.select("node").distinct(), links)
     adjacent: dict[str, list[str]] = defaultdict(list)
     for r in links.orderBy("src", "dst").toLocalIterator():
         adjacent[r["src"]].append(r["dst"])
@@ -142,12 +143,48 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(sums, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def _louvain(weights: dict[str, dict[str, float]]) -> dict[str, int]:
-    """Communities by greedy modularity, nodes in order, levels until nothing moves."""
+def _betweenness_by_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Numbers of shortest paths forward, shares of them backward; a level of the walk is a stored table."""
+    level = durable(nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select("s", "v")
+    while True:
+        met = level.join(links, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        level = durable(met.join(seen, ["s", "v"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = durable(seen.unionByName(level.select("s", "v")))
+    share, total = None, nodes.select("node", F.lit(0.0).alias("part"))
+    for depth in range(len(levels) - 1, 0, -1):
+        level = levels[depth]
+        own = level.withColumn("share", F.lit(0.0)) if share is None else level.join(share, ["s", "v"], "left").na.fill(0.0, ["share"])
+        own = durable(own)
+        total = total.unionByName(own.select(F.col("v").alias("node"), F.col("share").alias("part")))
+        up = own.select("s", F.col("v").alias("dst"), (F.col("share") + 1).alias("gain"), F.col("paths").alias("below")).join(links, "dst")
+        before = levels[depth - 1].select("s", F.col("v").alias("src"), "paths")
+        share = up.join(before, ["s", "src"]).groupBy("s", F.col("src").alias("v")).agg(F.sum(F.col("paths") / F.col("below") * F.col("gain")).alias("share"))
+    return total.groupBy("node").agg(F.sum("part").alias("betweenness"))
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, part): the smallest node of its connected component; labels are halved in distance each round."""
+    both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    label = durable(nodes.select("node", F.col("node").alias("part")).distinct())
+    while True:
+        near = both.join(label, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("part").alias("near"))
+        low = durable(label.join(near, "node", "left").select("node", "part", F.least("part", F.coalesce("near", "part")).alias("low")))
+        jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        now = durable(low.join(jump, "low").select("node", "part", F.col("lower").alias("next")))
+        label = now.select("node", F.col("next").alias("part"))
+        if now.where("part <> next").isEmpty():
+            return label
+
+
+def _louvain(weights: dict[str, dict[str, float]], total: float) -> dict[str, tuple[int, str]]:
+    """(size, smallest node) of the community of each node, by greedy modularity, nodes in order, levels until nothing moves."""
     members = {v: [v] for v in weights}
     graph = {v: dict(n) for v, n in weights.items()}
     while True:
-        total = sum(sum(n.values()) for n in graph.values()) or 1.0
         degree = {v: sum(n.values()) for v, n in graph.items()}
         home, load, moved = {v: v for v in graph}, dict(degree), False
         again = True
@@ -177,33 +214,40 @@ def _louvain(weights: dict[str, dict[str, float]]) -> dict[str, int]:
         for v, own in members.items():
             joined[home[v]] += own
         graph, members = {c: dict(n) for c, n in merged.items()}, dict(joined)
-    groups = sorted(members.values(), key=lambda own: (-len(own), min(own)))
-    return {v: i for i, own in enumerate(groups) for v in own}
+    return {v: (len(own), min(own)) for own in members.values() for v in own}
 
 
-def communities(nodes: DataFrame, edges: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """(node, community) of the undirected weighted module graph.
+def communities(nodes: DataFrame, edges: DataFrame, previous: DataFrame | None = None, task_links: int = C.TASK_LINKS) -> DataFrame:
+    """(node, community) of the undirected weighted module graph, the largest community first.
 
-    Communities keep the number of the previous one with which they share most nodes. The
-    method is sequential, so the module graph (of a checked size) is one task's work.
+    Communities keep the number of the previous one with which they share most nodes. The method is
+    sequential within a connected component and knows nothing of others but the weight of the
+    whole, so beyond `task_links` links every component is a task of its own; a graph of any size is
+    taken, and its largest component must fit a task.
     """
-    links = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
-    if not small_enough(links, BROADCAST_ROWS):
-        raise ValueError(f"more than {BROADCAST_ROWS} links: lift the graph to modules first")
+    links = durable(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")))
+    total = float(links.where("src <> dst").agg(F.sum("weight")).collect()[0][0] or 0.0) * 2 or 1.0
     rows = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight")).distinct().unionByName(links)
+    if links.limit(task_links + 1).count() > task_links:
+        every = rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        rows = rows.join(connected(every, links).withColumnRenamed("node", "src"), "src")
+    else:
+        rows = rows.withColumn("part", F.lit(""))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         graph: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for s, d, w in pdf.sort_values(["src", "dst"]).itertuples(index=False):
+        for s, d, w in pdf.sort_values(["src", "dst"])[["src", "dst", "weight"]].itertuples(index=False):
             if s == d:
                 graph[s]
             else:
                 graph[s][d] += w
                 graph[d][s] += w
-        out = _louvain(graph)
-        return pd.DataFrame({"node": list(out), "community": list(out.values())})
+        out = _louvain(graph, total)
+        return pd.DataFrame({"node": list(out), "size": [x for x, _ in out.values()], "least": [x for _, x in out.values()]})
 
-    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: run(pdf[["src", "dst", "weight"]]), "node string, community int")
+    found = durable(rows.groupBy("part").applyInPandas(run, "node string, size bigint, least string"))
+    order = numbered(found.select("size", "least").distinct(), [F.desc("size"), "least"], "number")
+    found = found.join(order.select("least", (F.col("number") - 1).cast("int").alias("community")), "least").select("node", "community")
     if previous is None:
         return found
     found = durable(found)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import constants as C
 from tessella.functions import lex, paths, vectors
-from tessella.session import BROADCAST_ROWS, durable, small_enough
+from tessella.session import durable
 
 RESULT = "slug string, path string, title string, tier int, score double, degree bigint, matched array<string>, files array<string>"
 
@@ -20,11 +25,8 @@ def _joined(*parts: Column) -> Column:
 
 
 def with_matches(rows: DataFrame, text: Column, terms: list[lex.Term]) -> DataFrame:
-    """`rows` with `hits`: for every term how it matches the text."""
-    raw = F.lower(lex.fold(text))
-    hay = rows.withColumn("_text", text).withColumn("_hay", lex.haystack(F.col("_text"))).withColumn("_raw", raw)
-    hits = F.array(*[lex.match(F.col("_hay"), F.col("_raw"), t) for t in terms])
-    return hay.withColumn("hits", hits).withColumn("n_tokens", F.size("_hay")).drop("_text", "_hay", "_raw")
+    """`rows` with `hits`, for every term how it matches the text, and `n_tokens`."""
+    return rows.withColumn("_found", lex.match(text, terms)).withColumn("hits", F.col("_found.hits")).withColumn("n_tokens", F.col("_found.n_tokens")).drop("_found")
 
 
 def _total(hits: str, idf: list[float], saturate: bool = False) -> Column:
@@ -58,7 +60,10 @@ def _label(c: Column) -> Column:
 def document_frequencies(modules: DataFrame, files: DataFrame, query: str, prose: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """(term, df, idf): in how many modules each query term occurs, and its clamped rarity."""
     terms = lex.query_terms(query)
-    seen = _module_hits(modules, files, terms, prose, names)
+    return _rarity(_module_hits(modules, _file_hits(files, terms, names), terms, prose), terms)
+
+
+def _rarity(seen: DataFrame, terms: list[lex.Term]) -> DataFrame:
     counts = [F.count_if(F.col("any")[i]).alias(f"df{i}") for i in range(len(terms))]
     one = seen.agg(F.count("*").alias("n"), *counts)
     rows = F.explode(F.array(*[F.struct(F.lit(t.raw).alias("term"), F.col(f"df{i}").alias("df")) for i, t in enumerate(terms)]))
@@ -73,21 +78,17 @@ def _file_hits(files: DataFrame, terms: list[lex.Term], names: DataFrame | None)
     else:
         rows = rows.join(names.select(F.col("file").alias("rel"), "names"), "rel", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     text = _joined(F.col("rel"), F.col("title"), F.col("summary"), F.array_join("names", " "))
-    return with_matches(rows, text, terms)
+    labels = F.concat(F.array(_label(paths.basename(F.col("rel")))), F.transform("names", _label))
+    f = with_matches(rows, text, terms).withColumn("bonus", _label_bonus(labels, " ".join(t.exact for t in terms)))
+    return f.select("rel", "module", "degree", F.transform("hits", lambda h: h["weight"]).alias("weights"), "bonus")
 
 
-def _module_hits(modules: DataFrame, files: DataFrame, terms: list[lex.Term], prose: DataFrame | None, names: DataFrame | None) -> DataFrame:
-    """One row a module with all that scoring needs but rarity."""
+def _module_hits(modules: DataFrame, f: DataFrame, terms: list[lex.Term], prose: DataFrame | None) -> DataFrame:
+    """One row a module with what matches it: its own words, its prose, any of its files."""
     k = len(terms)
     joined = " ".join(t.exact for t in terms)
-    f = _file_hits(files, terms, names)
-    labels = F.concat(F.array(_label(paths.basename(F.col("rel")))), F.transform("names", _label))
-    f = f.withColumn("weights", F.transform("hits", lambda h: h["weight"])).withColumn("bonus", _label_bonus(labels, joined))
-    members = f.groupBy(F.col("module").alias("slug")).agg(
-        F.collect_list(F.struct("rel", "degree", "weights")).alias("members"),
-        F.max("bonus").alias("file_bonus"),
-        F.array(*[F.max(F.col("weights")[i]) for i in range(k)]).alias("file_any"),
-    )
+    members = f.groupBy(F.col("module").alias("slug")).agg(F.max("bonus").alias("file_bonus"), *[F.max(F.col("weights")[i]).alias(f"_any{i}") for i in range(k)])
+    members = members.select("slug", "file_bonus", F.array(*[f"_any{i}" for i in range(k)]).alias("file_any"))
     m = modules.select("slug", "path", "title", "summary", "tier", "deg_in", "deg_out").withColumn("text_summary", F.when(F.col("summary").rlike(paths.STRUCTURAL_SUMMARY), None).otherwise(F.col("summary")))
     m = with_matches(m, _joined(F.col("slug"), F.col("path"), F.col("text_summary")), terms).withColumnRenamed("hits", "module_hits").drop("n_tokens", "text_summary")
     m = m.withColumn("label_bonus", _label_bonus(F.array(_label(F.col("slug")), _label(F.col("path"))), joined))
@@ -108,23 +109,27 @@ def score_modules(modules: DataFrame, files: DataFrame, query: str, prose: DataF
     """Every module that a query matches, with its score, matched terms and files to open.
 
     modules: slug, path, title, summary, tier, deg_in, deg_out; files: rel, module, title,
-    summary, deg_in, deg_out; prose: slug, text; names: file, names. The one shuffle is that of
-    files by module; rarity comes from a first pass over the same columns and returns to the
-    plan as one number for each term.
+    summary, deg_in, deg_out; prose: slug, text; names: file, names. Texts are matched once, and
+    what they match is stored; rarity comes from those rows and returns to the plan as one number
+    for each term.
     """
     terms = lex.query_terms(query)
     if not terms:
         return modules.sparkSession.createDataFrame([], RESULT)
     k = len(terms)
-    rarity = {r["term"]: r["idf"] for r in document_frequencies(modules, files, query, prose, names).collect()}
+    f = durable(_file_hits(files, terms, names))
+    s = durable(_module_hits(modules, f, terms, prose))
+    rarity = {r["term"]: r["idf"] for r in _rarity(s, terms).collect()}
     idf = [float(rarity[t.raw]) for t in terms]
     top = max(1.0, *idf)
-    s = _module_hits(modules, files, terms, prose, names)
-    weigh = lambda w: reduce(lambda a, b: a + b, [w[i] * F.lit(v) for i, v in enumerate(idf)])
-    scored = F.transform("members", lambda x: F.struct(-weigh(x["weights"]), -x["degree"], x["rel"]))
-    s = s.withColumn("scored", F.coalesce(F.array_sort(scored), F.array().cast("array<struct<col1:double,col2:bigint,rel:string>>")))
-    s = s.withColumn("best", F.coalesce(-F.try_element_at("scored", F.lit(1))["col1"], F.lit(0.0)))
-    s = s.withColumn("n_hits", F.size(F.filter("scored", lambda x: x["col1"] < 0)))
+    f = f.withColumn("score", reduce(lambda a, b: a + b, [F.col("weights")[i] * F.lit(v) for i, v in enumerate(idf)]))
+    best = f.groupBy(F.col("module").alias("slug")).agg(F.max("score").alias("best"), F.count_if(F.col("score") > 0).alias("n_hits"))
+    # The first few of each module are picked in every task before the shuffle; a module of any size sends few rows.
+    w = Window.partitionBy("module").orderBy(F.desc("score"), F.desc("degree"), "rel")
+    first = f.withColumn("n", F.row_number().over(w)).where(F.col("n") <= C.MAX_FILES)
+    first = first.groupBy(F.col("module").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("n", "rel", "score"))).alias("first"))
+    s = s.join(best, "slug", "left").join(first, "slug", "left").withColumn("best", F.coalesce("best", F.lit(0.0))).withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+    s = s.withColumn("first", F.coalesce("first", F.array().cast("array<struct<n:int,rel:string,score:double>>")))
     s = s.withColumn("own", _total("module_hits", idf))
     s = s.withColumn("told", F.coalesce(_total("prose_hits", idf, True) / lex.length_norm(F.col("prose_tokens")), F.lit(0.0)))
     s = s.where((F.col("own") > 0) | (F.col("best") > 0) | (F.col("told") > 0))
@@ -135,12 +140,12 @@ def score_modules(modules: DataFrame, files: DataFrame, query: str, prose: DataF
     tail = F.when(F.col("tier") == 2, C.TAIL_WEIGHT).otherwise(1.0)
     total = keyword * tail * paths.path_weight(F.col("path")) * paths.generic_weight(F.col("path")) * (0.4 + 0.6 * coverage * coverage) + F.least(degree, F.lit(5)) * C.DEGREE_WEIGHT
     names_of = F.array(*[F.when(F.col("any")[i], F.lit(t.raw)) for i, t in enumerate(terms)])
-    hit_files = F.transform(F.filter("scored", lambda x: x["col1"] < 0), lambda x: x["rel"])
-    by_degree = F.transform(F.array_sort(F.transform("scored", lambda x: F.struct(x["col2"], x["rel"]))), lambda x: x["rel"])
+    # Without a hit all scores are 0, so the order is by degree.
+    shown = F.transform(F.filter("first", lambda x: (F.col("n_hits") == 0) | (x["score"] > 0)), lambda x: x["rel"])
     return s.select(
         "slug", "path", "title", F.col("tier").cast("int").alias("tier"), F.round(total, 3).alias("score"), degree.alias("degree"),
         F.array_sort(F.filter(names_of, lambda x: x.isNotNull())).alias("matched"),
-        F.slice(F.when(F.size(hit_files) > 0, hit_files).otherwise(by_degree), 1, C.MAX_FILES).alias("files"),
+        shown.alias("files"),
     )
 
 
@@ -284,12 +289,56 @@ def stale_vectors(texts: DataFrame, store: DataFrame) -> DataFrame:
     return texts.join(s, "slug", "left").where(F.col("stored").isNull() | (F.col("stored") != F.col("hash"))).select("slug", why.alias("why"))
 
 
-def encode(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(slug, v): the mean of the word vectors of a text, at length one, quantised. vocabulary: token, weights."""
-    words = texts.select("slug", F.explode(lex.raw_tokens(F.lower(lex.fold(F.col("text"))))).alias("token"))
-    words = words.groupBy("slug", "token").agg(F.count("*").alias("n"))
-    v = F.broadcast(vocabulary) if small_enough(vocabulary, BROADCAST_ROWS // 10) else vocabulary
-    cells = words.join(v, "token").select("slug", "n", F.posexplode("weights").alias("i", "w"))
-    mean = cells.groupBy("slug", "i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
-    rows = mean.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("mean"))
-    return rows.select("slug", vectors.quantize(vectors.normalised(F.col("mean"))).alias("v"))
+def encode(texts: DataFrame, vocabulary: DataFrame, part_rows: int = C.VOCABULARY_PART) -> DataFrame:
+    """(slug, v): the mean of the word vectors of a text, at length one, quantised. vocabulary: token, weights.
+
+    The vocabulary is broadcast `part_rows` at a time; texts are summed where they are read, and only
+    one vector a text moves. A text without a known word has no row; rows of one slug are one text.
+    """
+    vocabulary = durable(vocabulary.select("token", F.col("weights").cast("array<double>").alias("weights")).where("token is not null and weights is not null"))
+    parts = -(-vocabulary.count() // part_rows) or 1
+
+    def summed(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, times, matrix = shared.value
+            cut = re.compile("[A-Za-z0-9_]+").findall
+            for b in batches:
+                slugs, sums, n = [], [], []
+                for slug, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    tokens = Counter(cut(lex.fold_py(text or "").lower()))
+                    known = [(place[t], c) for t, c in tokens.items() if t in place]
+                    if known:
+                        at, c = (np.array(x) for x in zip(*known))
+                        slugs.append(slug)
+                        sums.append(c @ matrix[at])
+                        n.append(int((c * times[at]).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(sums, pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["slug", "sums", "n"])
+
+        return run
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, count = None, None, 0
+        one = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total / count], pa.list_(pa.float64()))], names=["slug", "mean"])
+        for b in batches:
+            for slug, sums, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if slug != now or total is None:
+                    if total is not None:
+                        yield one()
+                    now, total, count = slug, np.zeros(len(sums)), 0
+                total, count = total + np.array(sums), count + n
+        if total is not None:
+            yield one()
+
+    rows, found = texts.select(F.col("slug").cast("string").alias("slug"), "text"), None
+    for k in range(parts):
+        got = vocabulary.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == k).toArrow()
+        names, place = got.column("token").to_pylist(), {}
+        for t in names:
+            place.setdefault(t, len(place))
+        at = np.array([place[t] for t in names], int)
+        matrix, times = np.zeros((len(place), len(got.column("weights")[0]) if names else 0)), np.bincount(at, minlength=len(place))
+        np.add.at(matrix, at, np.array(got.column("weights").to_pylist(), float).reshape(len(names), -1))
+        one = rows.mapInArrow(summed(texts.sparkSession.sparkContext.broadcast((place, times, matrix))), "slug string, sums array<double>, n bigint")
+        found = one if found is None else found.unionByName(one)
+    means = found.repartition("slug").sortWithinPartitions("slug").mapInArrow(mean, "slug string, mean array<double>")
+    return means.select("slug", vectors.quantize(vectors.normalised(F.col("mean"))).alias("v"))

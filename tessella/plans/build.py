@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,7 +57,8 @@ def package_table(scanned: DataFrame) -> DataFrame:
 def build(spark: SparkSession, root: str, index: str, include: list[str] | None = None, exclude: list[str] | None = None, max_bytes: int = C.MAX_BYTES, max_files: int = C.MAX_SCAN_FILES, aliases: dict[str, str] | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
     """Scans, extracts, resolves, ranks and stores; returns the stored tables.
 
-    Files of unchanged content keep the records of the last build.
+    Files of unchanged content keep the records of the last build. More than `max_files` files are
+    cut off by path; then a warning says so and the table `partial` says how many were left out.
     """
     from tessella.operators.inventory import cap_files
 
@@ -64,6 +66,9 @@ def build(spark: SparkSession, root: str, index: str, include: list[str] | None
     ignored = files.ignore_globs(own.read_text()) if own.is_file() else []
     scanned = files.scan(spark, root, include, [*(exclude or []), *ignored], max_bytes, out_dir)
     capped = cap_files(scanned.select("rel"), max_files)
+    left_out = scanned.count() - max_files
+    if left_out > 0:
+        warnings.warn(f"index is partial: {left_out} files beyond max_files={max_files} were left out", stacklevel=2)
     scanned = scanned.join(capped.select("rel"), "rel", "left_semi")
     old = artifacts.read(spark, index, "cache")
     if old is None:
@@ -103,6 +108,7 @@ def build(spark: SparkSession, root: str, index: str, include: list[str] | None
         "refs": records.select(F.col("rel").alias("file"), F.explode("refs").alias("name")).join(defs.select("name").distinct(), "name"),
         "cache": records.select("rel", "hash", "size", "mtime", "kind", F.to_json(F.struct(*records.columns)).alias("record")),
     }
+    tables["partial"] = spark.createDataFrame([(max_files, left_out)] if left_out > 0 else [], "max_files bigint, left_out bigint")
     members = durable(before.select("slug", "members")) if before is not None else None
     for name, df in tables.items():
         artifacts.write(df, index, name)

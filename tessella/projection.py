@@ -16,7 +16,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id", F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), "doc_id", F.lit(".txt"))).alias("rel"),
-        F.concat_ws("-", "source", "lang").alias("module"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("title"),
+        F.concat_ws("-", "source", "lang").alias("module"), F.substring_index("text", "\n", 1).alias("title"),
         F.lit(None).cast("string").alias("summary"), F.octet_length("text").cast("long").alias("size"), F.sha1("text").alias("hash"),
         F.size(F.split("text", "\n")).cast("long").alias("lines"), (F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).cast("long").alias("symbols"),
         F.when(F.col("lang") == "de", "doc").otherwise("code").alias("kind"), (F.col("lang") == "es").alias("test_file"), "text",
@@ -24,7 +24,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = """files as (select doc_id, source || '/' || lang || '/d' || doc_id || '.txt' as rel, source || '-' || lang as module,
-    substr(string_split(text, chr(10))[1], 1, 80) as title, strlen(text)::bigint as size, sha1(text) as hash,
+    string_split(text, chr(10))[1] as title, strlen(text)::bigint as size, sha1(text) as hash,
     len(string_split(text, chr(10)))::bigint as lines, (length(text) - length(replace(text, '.', '')))::bigint as symbols,
     case when lang = 'de' then 'doc' else 'code' end as kind, lang = 'es' as test_file, text from documents)"""
 

@@ -12,6 +12,7 @@ from tessella.operators import search as S
 from tessella.operators import symbols as Y
 from tessella.queries import query
 from tessella.queries import sqltext as T
+from tessella.session import durable
 
 TEXT_QUERY = "reserved license tokens"
 MODULE_QUERY = "reserved src7 de license"
@@ -70,8 +71,8 @@ def score_haystack(spark, sf_dir):
 
 def _world(spark, sf_dir):
     f = P.files(spark, sf_dir)
-    e = P.copy_edges(f)
-    return P.modules(f, e), P.with_degrees(f.drop("text"), e), e, f
+    e = durable(P.copy_edges(f))
+    return durable(P.modules(f, e)), P.with_degrees(f.drop("text"), e), e, f
 
 
 _K = len(MTERMS)

@@ -66,15 +66,6 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of keys up to which a side is broadcast (some tens of MB); past it the join shuffles.
-BROADCAST_ROWS = 250_000
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a stored key table has at most `limit` rows; stops counting past it."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def column(name: str) -> Column:
     """The column of just this name, whatever signs it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -114,6 +114,26 @@ def test_symbol_tiers(spark):
     assert look([("parse", "a"), ("parser", "a")], "parse") == ["parse"]
 
 
+def test_encoding_by_parts_of_the_vocabulary(spark):
+    """Against plain means; repeated words, repeated tokens of the vocabulary, rows of one slug."""
+    import numpy as np
+
+    from tessella.functions import vectors
+
+    rng = np.random.default_rng(4)
+    weights = {f"w{i}": rng.normal(size=5) for i in range(30)}
+    rows = [(f"t{i % 15}", " ".join(f"w{k}" for k in rng.integers(0, 40, 12)) + (" café" if i == 3 else "")) for i in range(18)] + [("none", "zzz"), ("null", None)]
+    texts = spark.createDataFrame(rows, "slug string, text string")
+    voc = spark.createDataFrame([(k, v.tolist()) for k, v in weights.items()] + [("w1", weights["w2"].tolist())], "token string, weights array<double>")
+    ways = [{r["slug"]: r["v"] for r in search.encode(texts, voc, size).collect()} for size in (100_000, 4)]
+    assert ways[0] == ways[1] and len(ways[0]) == 15
+    for slug, got in ways[0].items():
+        words = [w for s, t in rows if s == slug for w in t.split()]
+        own = np.array([weights[w] for w in words if w in weights] + [weights["w2"] for w in words if w == "w1"])
+        mean = own.mean(axis=0)
+        assert got == [round(x) for x in (mean / np.linalg.norm(mean) * 127).tolist()]
+
+
 def test_names_are_capped_in_order(spark):
     d = spark.createDataFrame([("f", f"n{i:03}", True) for i in range(71)] + [("f", "hidden", False), ("f", "n000", True)], "file string, name string, exported boolean")
     assert symbols.exported_names(d).collect()[0]["names"] == [f"n{i:03}" for i in range(60)]
@@ -185,6 +205,30 @@ def test_betweenness_query_covers_the_whole_graph(spark, sf):
     assert all(got[v] > 0 for v in want if v[0] == "n")
 
 
+def _random_graph(spark, seed, n=40, m=70):
+    import random
+
+    rng = random.Random(seed)
+    rows = sorted({(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}", "k", rng.randrange(1, 4)) for _ in range(m)})
+    e = spark.createDataFrame(rows, "src string, dst string, kind string, weight bigint")
+    return e, spark.createDataFrame([(f"n{i:02}",) for i in range(n)], "node string")
+
+
+def test_large_graphs_give_what_small_ones_give(spark):
+    """Walks by joins and communities by component, against the ways of one task."""
+    for seed in (1, 2):
+        e, n = _random_graph(spark, seed)
+        one = {r["node"]: r["betweenness"] for r in graph.betweenness(n, e).collect()}
+        many = {r["node"]: r["betweenness"] for r in graph.betweenness(n, e, 0).collect()}
+        assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one) and max(one.values()) > 0
+        parts = {r["node"]: r["part"] for r in graph.connected(n, e).collect()}
+        for r in e.collect():
+            assert parts[r["src"]] == parts[r["dst"]]
+        assert all(parts[p] == p <= k for k, p in parts.items())
+        few = e.where("src < 'n20' = (dst < 'n20')")
+        assert sorted(map(tuple, graph.communities(n, few).collect())) == sorted(map(tuple, graph.communities(n, few, task_links=0).collect()))
+
+
 def test_communities_of_two_cliques_keep_their_numbers(spark):
     e = [(f"{g}{i}", f"{g}{j}", "use", 1) for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0", "use", 1)]
     edges, n = spark.createDataFrame(e, E), spark.createDataFrame([(f"{g}{i}",) for g in "ab" for i in range(4)], "node string")

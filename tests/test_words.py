@@ -88,3 +88,36 @@ def test_vectors(spark):
 def test_citations(spark, text, want):
     got = column(spark, cite.citations, text)[0]
     assert [(c["path"], c["start"], c["end"]) for c in got] == want
+
+
+def test_forms_of_tokens_are_those_of_the_columns(spark):
+    tokens = "parseHTTPRequest stories Stories2 running boxes a_b __x__ HTML5Parser ties makes used going us URLs snake_cases x1y2 dishes e2e".split()
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    assert {r["t"]: set(r["f"]) for r in df.select("t", lex.token_forms(df["t"]).alias("f")).collect()} == {t: lex.token_forms_py(t) for t in tokens}
+
+
+def test_matching_skips_no_token_that_finds_a_term():
+    import random
+
+    rng = random.Random(2)
+    m = lex.Matcher(lex.query_terms("storyBoard license deleting category tokens removeX"))
+    whole = lambda t: tuple(n for n, (_, _, w) in enumerate(m.ways) if w & lex.token_forms_py(t))
+    parts = sorted({w for _, _, x in m.ways for w in x}) + ["ies", "s", "es", "ing", "ed", "stor", "categor", "X", "2", "_", "Http"]
+    seen = 0
+    for _ in range(20_000):
+        t = "".join(rng.choice([str.lower, str.title, str.upper])(rng.choice(parts)) for _ in range(rng.randrange(1, 4)))
+        assert m.found(t) == whole(t), t
+        seen += bool(whole(t))
+    assert seen > 1000
+    assert m.match("Stories of a licensed TOKEN, uncategorized")[2] == 6
+
+
+def test_folding_is_one_for_queries_and_texts(spark):
+    import unicodedata
+
+    signs = "ﬁle Ａ① ℌ ½ é e\u0301 ǆ Ω 한 𝔄 ß æ"
+    assert column(spark, lex.fold, signs) == [lex.fold_py(signs)] == ["file A1 H 1\u20442 e e dz Ω 한 A ß æ"]
+    assert [t.exact for t in lex.query_terms("ﬁle Ａbc")] == ["file", "abc"]
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000, 13)]:
+        want = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(x) != "Mn")
+        assert lex.fold_py(chr(code)) == want
