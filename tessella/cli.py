@@ -1,4 +1,4 @@
-"""python -m tessella.cli COMMAND ...: build, find, symbols, neighbors, impact, delta, map, status, dossier, ask, check, verify, orchestrate, dead, serve."""
+"""python -m tessella.cli COMMAND ...: build, find, embed, symbols, neighbors, impact, delta, map, status, dossier, ask, check, verify, orchestrate, dead, serve."""
 
 from __future__ import annotations
 
@@ -32,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--depth", type=int)
         s.add_argument("--kind")
         s.add_argument("--budget", type=int)
+    e = sub.add_parser("embed")
+    e.add_argument("model", help="a JSON file of modelId, dim, vocab, weights")
+    e.add_argument("--force", action="store_true")
     d = sub.add_parser("delta")
     d.add_argument("--base")
     d.add_argument("--staged", action="store_true")
@@ -60,6 +63,8 @@ def run(argv: list[str], spark=None) -> int:
         show(build_all(spark, a.root, a.index, include=a.include, exclude=a.exclude, max_bytes=a.max_bytes, max_files=a.max_files, out_dir=a.index))
     elif a.command == "find":
         show(x.find(a.what, a.k or C.TOP_K))
+    elif a.command == "embed":
+        show(x.embed(a.model, a.force))
     elif a.command == "ask":
         show(x.ask(a.what, a.k or C.ASK_K, a.budget))
     elif a.command == "symbols":

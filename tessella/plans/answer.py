@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella import constants as C
 from tessella.operators import delta, graph, grounding, inventory, prose, search, status, symbols
+from tessella.schema import TABLES
+from tessella.session import durable
 from tessella.sources import artifacts, files, git
 
 
@@ -55,8 +60,47 @@ class Index:
         """All modules that match."""
         return search.score_modules(self.table("modules"), self.table("files"), query, self.prose(), self.names())
 
+    def embed(self, model: str, force: bool = False) -> dict:
+        """Vectors of all modules by a model file (JSON: modelId, dim, vocab, weights); only changed texts are encoded.
+
+        Another model or size, or `force`, encodes all; vectors of vanished modules are dropped.
+        """
+        with open(model) as file:
+            m = json.load(file)
+        vocabulary = self.spark.createDataFrame([(m["modelId"], int(m["dim"]), t, [float(x) for x in w]) for t, w in zip(m["vocab"], m["weights"])], TABLES["vocabulary"])
+        texts = durable(search.embed_text(self.table("modules"), self.table("files"), self.prose()))
+        old = artifacts.read(self.spark, self.path, "vectors")
+        pruned = 0 if old is None else old.join(texts, "slug", "left_anti").count()
+        same = (F.col("model") == m["modelId"]) & (F.col("dim") == int(m["dim"])) & F.lit(not force)
+        none = self.spark.createDataFrame([], TABLES["vectors"])
+        kept = durable((none if old is None else old.where(same)).join(texts.select("slug", "hash"), ["slug", "hash"], "left_semi"))
+        changed = texts.join(kept.select("slug"), "slug", "left_anti")
+        made = search.encode(changed, vocabulary).join(changed.select("slug", "hash"), "slug")
+        made = durable(made.select("slug", "hash", "v", F.lit(m["modelId"]).alias("model"), F.lit(int(m["dim"])).alias("dim")))
+        artifacts.write(kept.select("slug", "hash", "v", "model", "dim").unionByName(made), self.path, "vectors")
+        artifacts.write(vocabulary, self.path, "vocabulary")
+        return {"model": m["modelId"], "embedded": made.count(), "reused": kept.count(), "pruned": pruned}
+
+    def hybrid(self, query: str, k: int = C.TOP_K) -> tuple[DataFrame, str | None]:
+        """Words and vectors fused, and a warning where there are vectors that can't be used; without vectors, words."""
+        store, vocabulary = (artifacts.read(self.spark, self.path, t) for t in ("vectors", "vocabulary"))
+        more = {"prose": self.prose(), "names": self.names()}
+        modules, rows = self.table("modules"), self.table("files")
+        first = None if store is None or vocabulary is None else store.first()
+        if first is None:
+            return search.find_hybrid(modules, rows, query, k, **more)
+        active = vocabulary.first()
+        asked = search.encode(self.spark.createDataFrame([("query", query)], "slug string, text string"), vocabulary).first()
+        return search.find_hybrid(modules, rows, query, k, store, None if asked is None else list(asked["v"]), first["model"], active["model"], **more)
+
     def find(self, query: str, k: int = C.TOP_K) -> DataFrame:
-        """The best modules, then what the graph adds."""
+        """The best modules: by words and vectors where the index is embedded, else by words and what the graph adds."""
+        if artifacts.read(self.spark, self.path, "vectors") is not None:
+            found, warning = self.hybrid(query, k)
+            if warning is None and "fused" in found.columns:
+                rows = found.collect()  # k rows, in order
+                return self.spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], found.schema.add("position", "integer"))
+            warnings.warn(warning or "index has no vectors: words only", stacklevel=2)
         return search.expand(self.table("modules"), self.table("module_edges"), self.scored(query), query, k)
 
     def lookup(self, query: str) -> DataFrame:
@@ -140,13 +184,9 @@ class Index:
         f, m, defs, edges = self.table("files"), self.table("modules"), self.table("defs"), self.table("file_edges")
         gate = delta.staleness_gate(changed, f.select("rel", "hash"), self.texts().select("rel", "hash"))
         touched = delta.partition(changed, f).where("class = 'indexed'").select("module", F.col("path").alias("node"))
-        slugs = [r["module"] for r in touched.select("module").distinct().collect()]
-        rows = []
-        for s in slugs:  # as many as a change has modules
-            hit = graph.impact(edges.where("not dangling"), touched.where(F.col("module") == s).select("node"), ["import", "use", "call"], C.DELTA_DEPTH)
-            n = hit.join(f.select(F.col("rel").alias("node"), "module"), "node").agg(F.count("*"), F.countDistinct("module")).collect()[0]
-            rows.append((s, n[0], n[1]))
-        dependents = self.spark.createDataFrame(rows, "slug string, dependents bigint, dependent_modules bigint")
+        hit = graph.impact_each(edges.where("not dangling"), touched.withColumnRenamed("module", "slug"), ["import", "use", "call"], C.DELTA_DEPTH)
+        hit = hit.join(f.select(F.col("rel").alias("node"), "module"), "node")
+        dependents = hit.groupBy("slug").agg(F.count("*").alias("dependents"), F.countDistinct("module").alias("dependent_modules"))
         sig = delta.signals(changed, hunks, f, m, defs, edges, self.table("surprises"), dependents)
         return delta.risk(sig), gate.where("problem <> 'unindexed'")
 

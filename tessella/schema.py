@@ -10,7 +10,9 @@ TABLES = {
     "surprises": "src string, dst string, kind string, weight bigint, c_src int, c_dst int, pair_edges bigint",
     "defs": "name string, file string, line int, end_line int, kind string, exported boolean, lang string, parent string",
     "refs": "name string, file string",
-    "vectors": "slug string, hash string, v array<tinyint>, model string",
     "prose": "slug string, digest string, source string, baselined boolean",
     "cache": "rel string, hash string, size bigint, mtime double, kind string, record string",
+    "partial": "max_files bigint, left_out bigint",
+    "vectors": "slug string, hash string, v array<tinyint>, model string, dim int",
+    "vocabulary": "model string, dim int, token string, weights array<double>",
 }

@@ -229,6 +229,18 @@ def test_large_graphs_give_what_small_ones_give(spark):
         assert sorted(map(tuple, graph.communities(n, few).collect())) == sorted(map(tuple, graph.communities(n, few, task_links=0).collect()))
 
 
+def test_one_walk_for_all_seeds_is_a_walk_for_each(spark):
+    e, _ = _random_graph(spark, 5)
+    seeds = [("a", "n03"), ("a", "n07"), ("b", "n07"), ("c", "none")]
+    for depth in (None, 2):
+        got = sorted(map(tuple, graph.impact_each(e, spark.createDataFrame(seeds, "slug string, node string"), ["k"], depth).collect()))
+        want = []
+        for slug in "abc":
+            own = spark.createDataFrame([(n,) for s, n in seeds if s == slug], "node string")
+            want += [(slug, *r) for r in graph.impact(e, own, ["k"], depth).collect()]
+        assert got == sorted(want) and got
+
+
 def test_communities_of_two_cliques_keep_their_numbers(spark):
     e = [(f"{g}{i}", f"{g}{j}", "use", 1) for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0", "use", 1)]
     edges, n = spark.createDataFrame(e, E), spark.createDataFrame([(f"{g}{i}",) for g in "ab" for i in range(4)], "node string")

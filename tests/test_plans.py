@@ -70,6 +70,46 @@ def test_answers(spark, built):
         Index(spark, "/nonexistent").table("files")
 
 
+def test_embedding_is_incremental_and_find_uses_it(spark, built, tmp_path):
+    import shutil
+
+    index = str(tmp_path / "index")
+    shutil.copytree(built[1], index)
+    x = Index(spark, index, str(built[0]))
+    n = x.table("modules").count()
+    words = ["auth", "db", "pkg", "docs", "tests", "root", "login", "client", "guide", "app"]
+    model = tmp_path / "model.json"
+
+    def write(name):
+        model.write_text(json.dumps({"modelId": name, "dim": 10, "vocab": words, "weights": [[float(i == j) for j in range(10)] for i in range(10)]}))
+
+    write("a")
+    assert x.hybrid("auth")[1] is None and "fused" not in x.hybrid("auth")[0].columns
+    assert x.embed(str(model)) == {"model": "a", "embedded": n, "reused": 0, "pruned": 0}
+    assert x.embed(str(model)) == {"model": "a", "embedded": 0, "reused": n, "pruned": 0}
+    assert x.embed(str(model), force=True)["embedded"] == n
+    got = x.find("auth login").orderBy("position").collect()
+    assert got[0]["slug"] == "src-auth" and got[0]["semantic_rank"] == 1 and got[0]["fused"] > 0
+    assert [r["position"] for r in got] == list(range(1, len(got) + 1))
+    assert {r["rel"] for r in x.ask("auth login").collect()} >= {"src/auth/login.ts"}
+    with pytest.warns(UserWarning, match="words only"):
+        assert x.find("query").orderBy("position").first()["slug"] == "src-db"  # no word of the query is in the model
+    write("b")
+    assert x.embed(str(model))["embedded"] == n
+    gone = spark.createDataFrame([("gone", "h", [1] * 10, "b", 10)], "slug string, hash string, v array<tinyint>, model string, dim int")
+    from tessella.sources import artifacts
+
+    artifacts.write(spark.createDataFrame(x.table("vectors").collect() + gone.collect(), gone.schema), index, "vectors")
+    assert x.embed(str(model)) == {"model": "b", "embedded": 0, "reused": n, "pruned": 1}
+
+
+def test_an_index_beyond_max_files_says_that_it_is_partial(spark, built, tmp_path):
+    with pytest.warns(UserWarning, match="2 files"):
+        tables = build(spark, str(built[0]), str(tmp_path / "few"), max_files=4)
+    assert [tuple(r) for r in tables["partial"].collect()] == [(4, 2)] and tables["files"].count() == 4
+    assert built[2]["partial"].count() == 0
+
+
 def test_a_changed_file_makes_the_index_stale(spark, built):
     p = built[0] / "pkg/mod.py"
     old = p.read_text()
