@@ -218,7 +218,7 @@ def rename_overlaps(spark, sf_dir):
 
 @query()
 def rename_migrations(spark, sf_dir):
-    """The greedy walk over overlaps; held against brute force in the tests."""
+    """The greedy walk over overlaps."""
     f = P.files(spark, sf_dir)
     old = f.select(F.concat(F.lit("old-"), "module").alias("slug"), F.col("rel").alias("member"))
     new = f.where("symbols > 3").select("module", F.col("rel").alias("member")).withColumnRenamed("module", "slug")

@@ -139,7 +139,7 @@ def find_seeds(spark, sf_dir):
 
 @query()
 def find_expand(spark, sf_dir):
-    """Held against a brute-force walk in the tests."""
+    """The rows of a query with what seeds for its terms and the graph add."""
     m, f, e, full = _world(spark, sf_dir)
     from tessella.operators.graph import lift
 
