@@ -60,9 +60,12 @@ def fold_map() -> dict[int, str]:
     return out
 
 
+_BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
+
+
 def fold_py(s: str) -> str:
     """A text without diacritics, ligatures and other compatibility signs."""
-    return s if s.isascii() else s.translate(fold_map())
+    return s if s.isascii() else _BEYOND_ASCII.sub(lambda m: m.group().translate(fold_map()), s)
 
 
 def fold(c: Column) -> Column:
@@ -200,9 +203,14 @@ class Matcher:
         """(weight and count of every term, number of tokens)."""
         folded = fold_py(text)
         tokens, counts = Counter(self.cut(folded)), [0] * len(self.ways)
+        known = self.known
         for t, n in tokens.items():
-            for way in self.known[t] if t in self.known else self.found(t):
-                counts[way] += n
+            ways = known.get(t)
+            if ways is None:
+                ways = self.found(t)
+            if ways:
+                for way in ways:
+                    counts[way] += n
         weight, count, low = [0.0] * len(self.terms), [0] * len(self.terms), None
         for (i, w, _), n in zip(self.ways, counts):
             if n and (w > weight[i] or w == weight[i] and n > count[i]):
@@ -229,8 +237,7 @@ def match(text: Column, terms: list[Term]) -> Column:
         m, k = matcher(tuple(terms)), len(terms)
         for b in batches:
             weights, counts, sizes = [], [], []
-            for v in b:
-                t = v.as_py()
+            for t in b.to_pylist():
                 w, c, n = ([0.0] * k, [0] * k, None) if t is None else m.match(t)
                 weights += w
                 counts += c
