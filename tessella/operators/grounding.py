@@ -47,16 +47,17 @@ def claim_pairs(answers: DataFrame, sources: DataFrame, key: str = "doc_id") ->
     whose lines can be read and aren't blank. sources: rel, text.
     """
     units = answers.select(key, F.posexplode(claim_units(F.col("text"))).alias("place", "claim"))
-    cited = units.withColumn("cites", cite.citations(F.col("claim"))).where(F.size("cites") > 0)
+    cited = units.select(key, "place", "claim", F.explode(cite.citations(F.col("claim"))).alias("c"))
     number = F.dense_rank().over(Window.partitionBy(key).orderBy("place"))
-    rows = cited.withColumn("claim_id", F.concat(F.lit("C"), number.cast("string"))).select(key, "claim_id", "claim", F.explode("cites").alias("c"))
-    rows = rows.select(key, "claim_id", "claim", F.col("c.raw").alias("citation"), F.col("c.path").alias("path"), F.col("c.start").alias("start"), F.col("c.end").alias("end"))
-    j = rows.join(sources.select(F.col("rel").alias("path"), F.col("text").alias("source")), "path")
-    j = j.withColumn("lines", F.split("source", "\r?\n")).withColumn("first", F.greatest(F.lit(1), F.coalesce("start", F.lit(1))))
+    rows = cited.select(key, F.concat(F.lit("C"), number.cast("string")).alias("claim_id"), "claim", "c.*").withColumnRenamed("raw", "citation")
+    # A source is cut into lines once, before its citations multiply it.
+    lines = sources.select(F.col("rel").alias("path"), F.split("text", "\r?\n").alias("lines"))
+    first = F.greatest(F.lit(1), F.coalesce("start", F.lit(1)))
     last = F.when(F.col("start").isNull(), F.size("lines")).otherwise(F.coalesce("end", "start"))
-    excerpt = F.array_join(F.slice("lines", F.col("first"), F.greatest(F.lit(0), last - F.col("first") + 1)), "\n")
-    j = j.withColumn("excerpt", excerpt).where(F.trim("excerpt") != "")
-    return j.select(key, "claim_id", "claim", "citation", "path", F.sha1("excerpt").alias("digest"))
+    excerpt = F.array_join(F.slice("lines", first, F.greatest(F.lit(0), last - first + 1)), "\n")
+    # A filter on the excerpt would be pushed below and work it out twice; a generator does it once.
+    shown = F.explode(F.filter(F.array(excerpt), lambda x: F.trim(x) != "")).alias("excerpt")
+    return rows.join(lines, "path").select(key, "claim_id", "claim", "citation", "path", shown).withColumn("digest", F.sha1("excerpt")).drop("excerpt")
 
 
 def reduce_verdicts(verdicts: DataFrame) -> DataFrame:
