@@ -56,7 +56,7 @@ def claim_pairs(answers: DataFrame, sources: DataFrame, key: str = "doc_id") ->
     last = F.when(F.col("start").isNull(), F.size("lines")).otherwise(F.coalesce("end", "start"))
     excerpt = F.array_join(F.slice("lines", first, F.greatest(F.lit(0), last - first + 1)), "\n")
     # A filter on the excerpt would be pushed below and work it out twice; a generator does it once.
-    shown = F.explode(F.filter(F.array(excerpt), lambda x: F.trim(x) != "")).alias("excerpt")
+    shown = F.explode(F.filter(F.array(excerpt), lambda x: x.rlike(r"\S"))).alias("excerpt")
     return rows.join(lines, "path").select(key, "claim_id", "claim", "citation", "path", shown).withColumn("digest", F.sha1("excerpt")).drop("excerpt")
 
 

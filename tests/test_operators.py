@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -291,6 +292,17 @@ def test_citation_check(spark):
     assert got == {"src/a.ts:5": "resolved", "src/a.ts:99": "unresolved", "src/no.ts": "unresolved", "Node.js": "ignored", "src/a.ts:9-3": "unresolved"}
 
 
+def test_claim_pairs(spark):
+    """Lines that can be read make a pair; blank lines, lines beyond the end, null and empty texts make none."""
+    text = "One [a/x.py:1-2].\n\nTwo none.\n\nThree [a/x.py:2] [a/x.py] [b/y.md:9]"
+    answers = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, "n [b/y.md:1-99] [c/z.md]")], "doc_id int, text string")
+    sources = spark.createDataFrame([("a/x.py", "l1\r\n\nl3"), ("b/y.md", "t"), ("c/z.md", None), ("c/z.md", " \n ")], "rel string, text string")
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    got = {(r["doc_id"], r["claim_id"], r["citation"], r["digest"]) for r in grounding.claim_pairs(answers, sources).collect()}
+    assert got == {(1, "C1", "a/x.py:1-2", sha("l1\n")), (1, "C2", "a/x.py", sha("l1\n\nl3")), (None, "C1", "b/y.md:1-99", sha("t"))}
+    assert grounding.claim_pairs(answers.limit(0), sources).count() == 0
+
+
 def test_verdicts(spark):
     v = spark.createDataFrame([("C1", "supported"), ("C1", "refuted"), ("C2", "unsupported"), ("C3", "partial"), ("C3", "unsupported"), ("C4", None)], "claim_id string, verdict string")
     assert {r["claim_id"]: (r["ok"], r["judged"]) for r in grounding.reduce_verdicts(v).collect()} == {"C1": (False, True), "C2": (False, True), "C3": (True, True), "C4": (True, False)}
