@@ -71,5 +71,5 @@ LANGUAGES = {
 DOC_LANGUAGES = ("markdown", "rst", "text")
 CONFIG_LANGUAGES = ("json", "yaml", "toml")
 ASSET_LANGUAGES = ("html", "css")
-#: Rows of an encoder's vocabulary that are broadcast at once; links of a module graph up to which one task walks it.
+#: Rows of an encoder's vocabulary that are broadcast; links of a module graph up to which one task walks it.
 VOCABULARY_PART, TASK_LINKS = 100_000, 250_000

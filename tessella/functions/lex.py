@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,19 @@ def fold_py(s: str) -> str:
     return s if s.isascii() else _BEYOND_ASCII.sub(lambda m: m.group().translate(fold_map()), s)
 
 
+#: Bytes of text that are Python strings at once; a longer text is alone.
+PART_BYTES = 4 << 20
+
+
+def parts(b: pa.Array) -> Iterator[pa.Array]:
+    """An array of texts in parts of up to `PART_BYTES`, so that a worker's memory doesn't follow the rows of a batch."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(b):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def fold(c: Column) -> Column:
     """`fold_py` for columns: texts and queries are folded by the same code."""
 

@@ -289,56 +289,120 @@ def stale_vectors(texts: DataFrame, store: DataFrame) -> DataFrame:
     return texts.join(s, "slug", "left").where(F.col("stored").isNull() | (F.col("stored") != F.col("hash"))).select("slug", why.alias("why"))
 
 
+def _word_vectors(vocabulary: DataFrame, counts: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """The rows (token, weights) of the words in most texts, `most` rows at most; and those of all other words.
+
+    A word without a vector has one row with null weights. vocabulary: token, weights; counts: token, n.
+    """
+    known = durable(counts.join(vocabulary, "token", "left"))
+    least, rows = None, 0
+    for n, more in known.groupBy("n").count().orderBy(F.desc("n")).collect():
+        rows += more
+        if rows > most:
+            break
+        least = n
+    own = F.lit(False) if least is None else F.col("n") >= least
+    return known.where(own).select("token", "weights").toArrow(), known.where(~own & F.col("weights").isNotNull()).select("token", "weights")
+
+
 def encode(texts: DataFrame, vocabulary: DataFrame, part_rows: int = C.VOCABULARY_PART) -> DataFrame:
     """(slug, v): the mean of the word vectors of a text, at length one, quantised. vocabulary: token, weights.
 
-    The vocabulary is broadcast `part_rows` at a time; texts are summed where they are read, and only
-    one vector a text moves. A text without a known word has no row; rows of one slug are one text.
+    Of the vocabulary, the words in most texts are broadcast, `part_rows` rows at most, and summed where
+    texts are read; any other word is in few texts, and meets its vector in a join. So what passes the
+    driver doesn't grow. A text without a known word has no row; rows of one slug are one text.
     """
-    vocabulary = durable(vocabulary.select("token", F.col("weights").cast("array<double>").alias("weights")).where("token is not null and weights is not null"))
-    parts = -(-vocabulary.count() // part_rows) or 1
-
-    def summed(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            place, times, matrix = shared.value
-            cut = re.compile("[A-Za-z0-9_]+").findall
-            for b in batches:
-                slugs, sums, n = [], [], []
-                for slug, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    tokens = Counter(cut(lex.fold_py(text or "").lower()))
-                    known = [(place[t], c) for t, c in tokens.items() if t in place]
-                    if known:
-                        at, c = (np.array(x) for x in zip(*known))
+    rows = texts.select(F.col("slug").cast("string").alias("slug"), "text")
+    vocabulary = vocabulary.select("token", "weights").where("token is not null and weights is not null")
+    kind = vocabulary.schema["weights"].dataType.simpleString()
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[Counter]]]:
+        cut = re.compile("[A-Za-z0-9_]+").findall
+        for b in batches:
+            at = 0
+            for part in lex.parts(b.column(1)):
+                yield b.column(0).slice(at, len(part)).to_pylist(), [Counter(cut(lex.fold_py(t or "").lower())) for t in part.to_pylist()]
+                at += len(part)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda n: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
+        n = Counter()
+        for _, texts in tokens(batches):
+            for found in texts:
+                n.update(found.keys())
+            if len(n) >= lex.TOKEN_CACHE:
+                yield one(n)
+                n = Counter()
+        yield one(n)
+
+    counts = rows.mapInArrow(counted, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    got, rare = _word_vectors(vocabulary, counts, part_rows)
+    place: dict[str, int] = {}
+    full = got.filter(got.column("weights").is_valid())
+    names = full.column("token").to_pylist()
+    for t in names:
+        place.setdefault(t, len(place))
+    at = np.array([place[t] for t in names], int)
+    matrix, times = np.zeros((len(place), len(full.column("weights")[0]) if names else 0)), np.bincount(at, minlength=len(place))
+    np.add.at(matrix, at, full.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1) if names else matrix)
+    # Words without a vector that are in most texts have no place, and needn't move either.
+    place |= dict.fromkeys(set(got.column("token").to_pylist()) - place.keys(), -1)
+    shared = texts.sparkSession.sparkContext.broadcast((place, times, matrix))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, times, matrix = shared.value
+        for own, texts in tokens(batches):
+            slugs, sums, n = [], [], []
+            for slug, found in zip(own, texts):
+                known = [(k, c) for t, c in found.items() if (k := place.get(t, -1)) >= 0]
+                if known:
+                    at, c = (np.array(x) for x in zip(*known))
+                    slugs.append(slug)
+                    sums.append(c @ matrix[at])
+                    n.append(int((c * times[at]).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(sums, pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["slug", "sums", "n"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value[0]
+        for own, texts in tokens(batches):
+            slugs, words, n = [], [], []
+            for slug, found in zip(own, texts):
+                for t, c in found.items():
+                    if t not in place:
                         slugs.append(slug)
-                        sums.append(c @ matrix[at])
-                        n.append(int((c * times[at]).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(sums, pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["slug", "sums", "n"])
+                        words.append(t)
+                        n.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["slug", "token", "n"])
 
-        return run
+    def vectors_of(column: pa.Array) -> np.ndarray:
+        full = column.drop_null()
+        return full.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(full), -1)
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, count = None, None, 0
-        one = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total / count], pa.list_(pa.float64()))], names=["slug", "mean"])
         for b in batches:
-            for slug, sums, n in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if slug != now or total is None:
-                    if total is not None:
-                        yield one()
-                    now, total, count = slug, np.zeros(len(sums)), 0
-                total, count = total + np.array(sums), count + n
+            if not b.num_rows:
+                continue
+            slugs, sums, n, weights = b.column(0).to_pylist(), *(b.column(k) for k in (1, 2, 3))
+            n, whole = n.to_numpy(), sums.is_valid().to_numpy(zero_copy_only=False)
+            own = [m for m in (vectors_of(sums) if whole.any() else None, vectors_of(weights) * n[~whole, None] if not whole.all() else None) if m is not None]
+            rows = np.zeros((len(n), own[0].shape[1]))
+            rows[whole], rows[~whole] = own[0] if whole.any() else 0, own[-1] if not whole.all() else 0
+            first = [0, *(k for k in range(1, len(slugs)) if slugs[k] != slugs[k - 1])]
+            done, means = [], []
+            for slug, part, k in zip((slugs[k] for k in first), np.add.reduceat(rows, first), np.add.reduceat(n, first)):
+                if total is not None and slug == now:
+                    total, count = total + part, count + k
+                    continue
+                if total is not None:
+                    done.append(now)
+                    means.append(total / count)
+                now, total, count = slug, part, k
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array(means, pa.list_(pa.float64()))], names=["slug", "mean"])
         if total is not None:
-            yield one()
-
-    rows, found = texts.select(F.col("slug").cast("string").alias("slug"), "text"), None
-    for k in range(parts):
-        got = vocabulary.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == k).toArrow()
-        names, place = got.column("token").to_pylist(), {}
-        for t in names:
-            place.setdefault(t, len(place))
-        at = np.array([place[t] for t in names], int)
-        matrix, times = np.zeros((len(place), len(got.column("weights")[0]) if names else 0)), np.bincount(at, minlength=len(place))
-        np.add.at(matrix, at, np.array(got.column("weights").to_pylist(), float).reshape(len(names), -1))
-        one = rows.mapInArrow(summed(texts.sparkSession.sparkContext.broadcast((place, times, matrix))), "slug string, sums array<double>, n bigint")
-        found = one if found is None else found.unionByName(one)
-    means = found.repartition("slug").sortWithinPartitions("slug").mapInArrow(mean, "slug string, mean array<double>")
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total / count], pa.list_(pa.float64()))], names=["slug", "mean"])
+
+    known = rows.mapInArrow(summed, "slug string, sums array<double>, n bigint").withColumn("weights", F.lit(None).cast(kind))
+    met = rows.mapInArrow(others, "slug string, token string, n bigint").join(rare, "token").select("slug", F.lit(None).cast("array<double>").alias("sums"), "n", "weights")
+    means = known.unionByName(met).repartition("slug").sortWithinPartitions("slug").mapInArrow(mean, "slug string, mean array<double>")
     return means.select("slug", vectors.quantize(vectors.normalised(F.col("mean"))).alias("v"))

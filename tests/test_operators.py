@@ -364,3 +364,15 @@ def test_reuse_trusts_times_of_code_only(spark):
     c = spark.createDataFrame([("code", "old", "code", 1, 1.0), ("doc", "old", "doc", 1, 1.0), ("same", "x", "doc", 9, 9.0)], s)
     act = lambda full: {r["rel"]: r["action"] for r in inventory.reuse(f, c, full).collect()}
     assert act(False) == {"code": "reuse", "doc": "extract", "same": "reuse"} and act(True)["code"] == "extract"
+
+
+def test_encode_broadcasts_no_more_than_asked(spark, monkeypatch):
+    """Whatever the size of the vocabulary; words without a vector, in every text, are among them."""
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(value) or plain(sc, value))
+    texts = spark.createDataFrame([(f"t{i}", f"the of w{i} v{i % 3} v{i % 3}") for i in range(40)] + [(None, "w1 of"), (None, "w2")], "slug string, text string")
+    voc = spark.createDataFrame([(f"w{i}", [1.0, 0.0]) for i in range(40)] + [(f"v{i}", [0.0, 1.0]) for i in range(3)], "token string, weights array<float>")
+    got = {r["slug"]: r["v"] for r in search.encode(texts, voc, 3).collect()}
+    assert sum(len(value[0]) for value in sent) <= 3
+    assert got == {f"t{i}": [57, 114] for i in range(40)} | {None: [127, 0]}
+    assert {r["slug"]: r["v"] for r in search.encode(texts, voc).collect()} == got
