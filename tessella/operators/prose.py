@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,17 +125,27 @@ def merge(spec: DataFrame, existing: DataFrame, migrated: DataFrame) -> DataFram
     return j.select("slug", named.alias("key"), F.coalesce("type", F.lit("human")).alias("type"), body.alias("body"), origin.alias("origin"))
 
 
+def _sized(groups: DataFrame, name: str) -> DataFrame:
+    """(`name`, member, n_`name`, bits_`name`): members of a group once, the number of them, and 64 bits in which each sets one."""
+    own = Window.partitionBy(name)
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(member), 64) as int))")
+    rows = groups.select(F.col("slug").alias(name), "member").where(F.col(name).isNotNull()).repartition(name).distinct()
+    return rows.withColumn(f"n_{name}", F.count("*").over(own)).withColumn(f"bits_{name}", F.bit_or(bit).over(own)).where("member is not null")
+
+
 def overlaps(old: DataFrame, new: DataFrame, least: float = MIGRATE_OVERLAP) -> DataFrame:
     """(new, old, overlap) of groups that share members by Jaccard. Both: slug, member.
 
-    Only groups with a common member meet: a join on the member, then counting.
+    Only groups with a common member meet: a join on the member, then counting. Where two groups meet, each
+    bit that one has and the other lacks is a member not shared; a pair that falls short of `least` even
+    if all others are shared leaves the join nowhere, so mostly pairs of the result move.
     """
-    a = old.select(F.col("slug").alias("old"), "member").distinct()
-    b = new.select(F.col("slug").alias("new"), "member").distinct()
-    na, nb = a.groupBy("old").agg(F.count("*").alias("na")), b.groupBy("new").agg(F.count("*").alias("nb"))
-    both = a.join(b, "member").groupBy("old", "new").agg(F.count("*").alias("n")).join(na, "old").join(nb, "new")
-    j = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
-    return both.select("new", "old", j.alias("overlap")).where(F.col("overlap") >= least)
+    missing = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    share = lambda n: n / (F.col("n_old") + F.col("n_new") - n)
+    most = F.least(F.col("n_old") - missing("bits_old", "bits_new"), F.col("n_new") - missing("bits_new", "bits_old"))
+    met = _sized(old, "old").join(_sized(new, "new"), "member").where(share(most) >= least)
+    both = met.groupBy("new", "old", "n_new", "n_old").agg(F.count("*").alias("n"))
+    return both.select("new", "old", share(F.col("n")).alias("overlap")).where(F.col("overlap") >= least)
 
 
 def migrations(old: DataFrame, new: DataFrame, least: float = MIGRATE_OVERLAP) -> DataFrame:

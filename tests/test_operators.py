@@ -376,3 +376,46 @@ def test_encode_broadcasts_no_more_than_asked(spark, monkeypatch):
     assert sum(len(value[0]) for value in sent) <= 3
     assert got == {f"t{i}": [57, 114] for i in range(40)} | {None: [127, 0]}
     assert {r["slug"]: r["v"] for r in search.encode(texts, voc).collect()} == got
+
+
+def _join_rows(node) -> list[int]:
+    """Rows that the joins of an executed plan gave."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        below = [node.executedPlan()]
+    elif name.endswith("QueryStage"):
+        below = [node.plan()]
+    else:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+    own = [node.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for x in below for n in _join_rows(x)]
+
+
+def test_overlaps_move_no_pairs_that_fall_short(spark):
+    """60 x 60 groups with one member in common, and one pair of equal ones."""
+    rows = lambda p: [(f"{p}{i}", m) for i in range(60) for m in (0, *(100 * i + k + (50 if p == "n" else 0) for k in range(1, 6)))] + [(f"{p}same", f) for f in (7001, 7002)]
+    old, new = (spark.createDataFrame(rows(p), "slug string, member bigint") for p in "on")
+    found = prose.overlaps(old, new)
+    assert [tuple(r) for r in found.collect()] == [("nsame", "osame", 1.0)]
+    assert max(_join_rows(found._jdf.queryExecution().executedPlan())) < 60
+
+
+def test_overlaps_against_all_pairs(spark):
+    """Groups of 1 to 150 members, rows twice, members that are null and count, slugs that are null and don't."""
+    rng = random.Random(6)
+    rows = {"o": [], "n": []}
+    for p in "on":
+        for i in range(80):
+            size = rng.choice([1, 2, 3, 5, 8, 100, 150])
+            rows[p] += [(f"{p}{i}", str(m)) for m in rng.sample(range(size + rng.choice([1, 3, 40])), size)]
+        rows[p] += rows[p][::3] + [(f"{p}1", None), (f"{p}2", None), (None, "1"), (None, "2")]
+    frames = [spark.createDataFrame(rows[p], "slug string, member string") for p in "on"]
+    sets = [{s: {m for k, m in rows[p] if k == s} for s, _ in rows[p] if s} for p in "on"]
+    for least in (0.2, 0.5, 0.9):
+        want = {}
+        for o, a in sets[0].items():
+            for n, b in sets[1].items():
+                if (both := len((a & b) - {None})) and both / (len(a) + len(b) - both) >= least:
+                    want[n, o] = both / (len(a) + len(b) - both)
+        got = {(r["new"], r["old"]): r["overlap"] for r in prose.overlaps(*frames, least).collect()}
+        assert got == want and want
