@@ -89,7 +89,8 @@ def fold(c: Column) -> Column:
     @F.arrow_udf("string")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in texts:
-            yield pa.array([None if t is None else fold_py(t) for t in b.to_pylist()], pa.string())
+            for part in parts(b):
+                yield pa.array([None if t is None else fold_py(t) for t in part.to_pylist()], pa.string())
 
     return run(c)
 
@@ -250,7 +251,7 @@ def match(text: Column, terms: list[Term]) -> Column:
     @F.arrow_udf(MATCHES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, k = matcher(tuple(terms)), len(terms)
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole)):
             weights, counts, sizes = [], [], []
             for t in b.to_pylist():
                 w, c, n = ([0.0] * k, [0] * k, None) if t is None else m.match(t)

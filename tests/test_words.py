@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,20 @@ def test_folding_is_one_for_queries_and_texts(spark):
     for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000, 13)]:
         want = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(x) != "Mn")
         assert lex.fold_py(chr(code)) == want
+
+
+def test_a_batch_is_read_in_parts(monkeypatch):
+    """However many rows a batch has, few texts are Python strings at once; a long text, nulls and slices stay right."""
+    made = []
+    monkeypatch.setattr(lex.F, "arrow_udf", lambda kind: lambda run: made.append(run) or (lambda c: c))
+    monkeypatch.setattr(lex, "PART_BYTES", 100)
+    texts = [None, "é" * 200, *(f"Stories é {i}" for i in range(50)), "", None, "x" * 90, "y" * 10, "z"]
+    whole = pa.array(["left out", *texts], pa.string()).slice(1)
+    lex.fold(None)
+    lex.match(None, terms := lex.query_terms("story 7"))
+    folded, matched = (list(run(iter([whole, whole.slice(0, 0), whole.slice(3, 4)]))) for run in made)
+    want = [*texts, *texts[3:7]]
+    assert [x for b in folded for x in b.to_pylist()] == [t if t is None else lex.fold_py(t) for t in want]
+    m = lex.Matcher(terms)
+    assert [(x["n_tokens"], [h["count"] for h in x["hits"]]) for b in matched for x in b.to_pylist()] == [(None, [0] * len(terms)) if t is None else (m.match(t)[2], m.match(t)[1]) for t in want]
+    assert all(len(b) == 1 or sum(len(x or "") for x in b.to_pylist()) <= 100 for b in folded) and len(folded) == len(matched) > 8
